@@ -51,6 +51,12 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def data_bytes(df: DataFrame, text_col: str) -> float:
+    """The size of a DataFrame's files by Catalyst's estimate; of its texts, measured, where there is none."""
+    known = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 2**60 else float(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+
+
 def partitions_for(spark: SparkSession, n_bytes: float, each: float = 32e6) -> int:
     """Partitions of about ``each`` bytes, at least as many as the session shuffles into."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / each))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import chat, exact_dedup, packing, pieces, token_files
+from cadenza.llm import chat, exact_dedup, hamming, packing, pieces, token_files, warc
 from cadenza.llm.common import shared_dir
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -39,13 +39,26 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors, by the signs of their components, of every vector whose id 20 divides."""
+    codes = hamming.sign_codes(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hamming.top_k(codes, codes.where("id % 20 = 0"), k=10)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of 2048 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=0, capacity=2048)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read from archives that hold all of them."""
+    out = shared_dir(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), out)
+    return warc.read_warc(spark, out)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_token_files, op4_exact_dedup, op6_best_fit_packing)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_token_files, op4_exact_dedup, op5_hamming_top_k, op6_best_fit_packing, op7_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -64,6 +77,13 @@ select conv_id, count(*) as n_turns,
   sum(length(text) + (length(marked) - length(text))
     + case role when 'system' then 15 when 'user' then 13 when 'assistant' then 7 else 19 + length(other) end)::bigint as formatted_chars
 from e group by conv_id""",
+        "op5_hamming_top_k": """
+with bits as (select vec_id, list_transform(embedding, lambda x: x > 0) as b from embeddings),
+pairs as (
+  select q.vec_id as query_id, x.vec_id as neighbor_id, len(list_filter(list_zip(q.b, x.b), lambda z: z[1] != z[2]))::int as distance
+  from bits q, bits x where q.vec_id % 20 = 0 and q.vec_id != x.vec_id)
+select query_id, rank::int as rank, neighbor_id, distance
+from (select *, row_number() over (partition by query_id order by distance, neighbor_id) as rank from pairs) where rank <= 10""",
         "op4_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))""",

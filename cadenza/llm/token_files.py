@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.chunks import encoded, word_chunks, word_table
-from cadenza.llm.common import partitions_for
+from cadenza.llm.common import data_bytes, partitions_for
 
 MAGIC = b"CTOKENS1"
 TAIL = "<QQQQ8s"
@@ -41,11 +41,6 @@ TAIL_BYTES = struct.calcsize(TAIL)
 NO_ID = -(2**63)
 
 
-def plan_bytes(df: DataFrame) -> float:
-    """Catalyst's estimate of a DataFrame's size; for files that of the files."""
-    return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
@@ -113,7 +108,7 @@ def write_token_files(
     """
     spark = documents.sparkSession
     rows = documents.select(F.coalesce(documents[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), documents[text_col].alias("text"))
-    n = partitions_for(spark, plan_bytes(documents), shard_bytes)
+    n = partitions_for(spark, data_bytes(documents, text_col), shard_bytes)
     cuts = rows.select(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
     dictionary = train_dictionary(rows, tokenizer_path, end_id, bytes_an_id, n_samples, dictionary_bytes)
     digest = hashlib.sha256(dictionary).hexdigest()
