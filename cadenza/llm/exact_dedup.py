@@ -10,33 +10,43 @@ share is settled by the texts themselves.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import drop_path, release_shuffles, shared_dir, staged, text_column
+from cadenza.llm.common import data_bytes, drop_path, release_shuffles, shared_dir, staged, text_column
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_digests(spark: SparkSession, digests: str, checkpoint: str, max_files: int = 1000) -> DataFrame:
+def stream_digests(spark: SparkSession, digests: str, checkpoint: str, partitions: int, max_files: int = 1000) -> DataFrame:
     """Feed the digest files that the stream has not met to its state, and return the state as a table.
 
-    ``digests``: a folder of Parquet files with ``digest, id, file, row``; more
+    ``partitions``: of the state, about 16 MB of documents each (a store has
+    fixed costs on its disk). ``digests``: a folder of Parquet files with ``digest, id, file, row``; more
     files may come later, and a later call takes up only those. Returns
     ``digest, n, keep`` with ``keep`` the struct ``(id, file, row)`` of the row
     with the largest id (then file, then row number).
     """
-    had = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        # Of a new stream only: a stream keeps the partitions that it began with.
+        "spark.sql.streaming.internal.stateStore.partitions": str(partitions),
+    }
+    had = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         source = spark.readStream.schema("digest binary, id bigint, file string, row bigint").option("maxFilesPerTrigger", max_files).parquet(digests)
         kept = source.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "file", "row")).alias("keep"))
         query = kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", had)
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = spark.read.format("statestore").load(checkpoint)
     n, keep = state.schema["value"].dataType.names[:2]
     return state.select(F.col("key.digest").alias("digest"), F.col(f"value.{n}").alias("n"), F.col(f"value.{keep}").alias("keep"))
@@ -62,14 +72,15 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digests = staged(digested.select("digest", "id", "file", "row"), f"{work}/digests")
     if digests.isEmpty():
         return digests.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
-    state = staged(stream_digests(spark, f"{work}/digests", f"{work}/stream"), f"{work}/state")
+    state = staged(stream_digests(spark, f"{work}/digests", f"{work}/stream", max(12, math.ceil(data_bytes(documents, text_col) / 16e6))), f"{work}/state")
     drop_path(spark, f"{work}/stream")
     release_shuffles(spark)
 
-    # Full bytes of the hits. The stored text of a digest is found by its locator; equal texts differ from it nowhere.
-    hit = state.where("n > 1")
-    stored = digested.join(hit.select(F.col("keep.file").alias("file"), F.col("keep.row").alias("row"), F.lit(1).alias("stored")), ["file", "row"]).select("digest", F.col("text").alias("stored_text"))
-    compared = digested.join(hit.select("digest"), "digest", "left_semi").join(stored, "digest")
+    # Full bytes of the hits: the text at a digest's locator against each text with that digest.
+    hits = staged(digested.join(state.where("n > 1"), "digest").select("digest", "text", F.expr("file = keep.file and row = keep.row").alias("stored")), f"{work}/hits")
+    release_shuffles(spark)
+    stored = hits.where("stored").select("digest", F.col("text").alias("stored_text"))
+    compared = hits.join(stored, "digest")
     shared = staged(compared.where("text != stored_text").select("digest").distinct(), f"{work}/shared")
 
     columns = [F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), F.expr("file = keep.file and row = keep.row").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import chat, exact_dedup, hamming, packing, pieces, token_files, warc
+from cadenza.llm import chat, exact_dedup, hamming, near_dup, packing, pieces, token_files, toxicity, warc
 from cadenza.llm.common import shared_dir
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -57,8 +57,19 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, out)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, learnt outside the held-out fold."""
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(documents, toxicity.learn(documents, _table(spark, sf_dir, "labels")))
+
+
+def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate class."""
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_token_files, op4_exact_dedup, op5_hamming_top_k, op6_best_fit_packing, op7_warc)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_token_files, op4_exact_dedup, op5_hamming_top_k, op6_best_fit_packing, op7_warc, op8_toxicity, op9_prob_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
