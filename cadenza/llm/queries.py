@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import chat, exact_dedup, hamming, near_dup, packing, pieces, token_files, toxicity, warc
+from cadenza.llm import chat, exact_dedup, hamming, near_dup, packing, pieces, suffix_dedup, token_files, toxicity, warc
 from cadenza.llm.common import shared_dir
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -68,8 +68,13 @@ def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes without the 50-byte strings that a smaller document has."""
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_token_files, op4_exact_dedup, op5_hamming_top_k, op6_best_fit_packing, op7_warc, op8_toxicity, op9_prob_minhash)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_token_files, op4_exact_dedup, op5_hamming_top_k, op6_best_fit_packing, op7_warc, op8_toxicity, op9_prob_minhash, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -155,3 +155,16 @@ def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id",
 
     rows = documents.select(documents[id_col].cast("bigint").alias("id"), held_out(documents[id_col].cast("bigint")).alias("held"), documents[text_col])
     return rows.mapInArrow(scores, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def without_toxic(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The input's rows, all columns, whose score is below THRESHOLD. A narrow operator."""
+    weights = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [weights.value.scores(*x) for x in features(batch.column(at))]
+            yield batch.filter(pa.array((np.concatenate(own) if own else np.zeros(0)) < THRESHOLD))
+
+    return documents.mapInArrow(clean, documents.schema)
