@@ -110,8 +110,8 @@ def _shared_buckets(table: pa.Table) -> pa.Table:
 
 def _contexts(texts: pa.Table, shared: pa.Table, parts: int) -> pa.Table:
     """Anchors of one slice in shared buckets, with their contexts."""
-    names = ["file", "row", "id", "place", "key", "context", "bytes", "before"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+    names = ["slice", "row", "id", "place", "key", "context"]
+    types = [pa.int64()] * 6
     texts = texts.combine_chunks()
     if not texts.num_rows or not shared.num_rows:
         return pa.table([pa.array([], t) for t in types], names=names)
@@ -126,13 +126,21 @@ def _contexts(texts: pa.Table, shared: pa.Table, parts: int) -> pa.Table:
     before = places - starts
     # The context's identifier from those of the parts before, at and behind the anchor.
     context = mix(mix(held.hashes(starts, places) + before.astype(np.uint64)) + mix(keys + (ends - places).astype(np.uint64)) + held.hashes(places + Q, ends))
-    data = raw.tobytes()
-    cut = pa.array([data[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
     at = pa.array(text)
-    columns = [texts["file"].take(at), texts["row"].take(at), texts["id"].take(at), pa.array(places - bounds[text]), pa.array(keys.view(np.int64)), pa.array(context.view(np.int64)), cut, pa.array(before.astype(np.int32))]
+    columns = [texts["slice"].take(at), texts["row"].take(at), texts["id"].take(at), pa.array(places - bounds[text]), pa.array(keys.view(np.int64)), pa.array(context.view(np.int64))]
     return pa.table(columns, names=names)
 
 
+def _context_bytes(texts: pa.Table, spots: pa.Table) -> pa.Table:
+    """The bytes of the contexts around some places of one slice."""
+    held = {r: t.as_buffer().to_pybytes() for r, t in zip(texts["row"].to_pylist(), texts["text"], strict=True)} if spots.num_rows else {}
+    own = [held[r] for r in spots["row"].to_pylist()]
+    places = spots["place"].to_pylist()
+    cut = [x[max(0, p - STRINGS + 1) : p + LENGTH] for x, p in zip(own, places, strict=True)]
+    before = [min(p, STRINGS - 1) for p in places]
+    return spots.select(["key", "context", "owner", "contexts"]).append_column("bytes", pa.array(cut, pa.binary())).append_column("before", pa.array(before, pa.int32()))
+
+
 def _strings(contexts: pa.Array, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(context, offset, identifier)`` of every 50-byte string of the contexts; offset 25 begins at the anchor."""
     raw, bounds = text_bytes(contexts.cast(pa.large_binary()))
@@ -195,28 +203,31 @@ def covered(n_bytes: int, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(rows, hits)``: the input as ``file, row, id, text``, and for rows with removable strings their anchors' ``places`` and ``masks``."""
+    """``(rows, hits)``: the input as ``slice, row, id, text``, and for rows with removable strings their anchors' ``places`` and ``masks``."""
     spark = documents.sparkSession
     work = shared_dir(spark, "suffix-dedup")
     rows = documents.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.coalesce(documents[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(documents[text_col], F.lit("")).alias("text")
+        F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {SLICE_ROWS}")).alias("slice"), F.col("_metadata.row_index").alias("row"), F.coalesce(documents[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(documents[text_col], F.lit("")).alias("text")
     )
     parts = min(65536, partitions_for(spark, data_bytes(documents, text_col), 16e6))
-    sliced = rows.withColumn("slice", F.xxhash64("file", F.expr(f"row div {SLICE_ROWS}")))
-    blobs = sliced.select("slice", "text").mapInArrow(lambda it: _bucket_blobs(it, parts), "part int, slice bigint, one binary, several binary")
+    blobs = rows.select("slice", "text").mapInArrow(lambda it: _bucket_blobs(it, parts), "part int, slice bigint, one binary, several binary")
     shared = staged(blobs.groupBy("part").applyInArrow(_shared_buckets, "slice bigint, part int, keys binary"), f"{work}/shared")
     release_shuffles(spark)
 
-    schema = "file string, row bigint, id bigint, place bigint, key bigint, context bigint, bytes binary, before int"
-    found = staged(sliced.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(lambda a, b: _contexts(a, b, parts), schema), f"{work}/contexts")
+    schema = "slice bigint, row bigint, id bigint, place bigint, key bigint, context bigint"
+    found = staged(rows.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(lambda a, b: _contexts(a, b, parts), schema), f"{work}/contexts")
     release_shuffles(spark)
 
     owners = staged(found.groupBy("key", "context").agg(F.min("id").alias("owner")), f"{work}/owners")
     open_keys = owners.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("contexts > 1 and lo < hi").select("key", "contexts")
     unsettled = owners.join(open_keys, "key")
-    # The bytes of a context come from its smallest document, so each context is fetched once.
-    held = found.select("key", "context", F.col("id").alias("owner"), "bytes", "before").join(unsettled, ["key", "context", "owner"])
-    held = staged(held.groupBy("key", "context", "owner", "contexts").agg(F.first(F.struct("bytes", "before")).alias("s")).select("key", "context", "owner", "s.bytes", "s.before", "contexts"), f"{work}/unsettled")
+    # The bytes of a context come from its smallest document, once.
+    spots = found.join(unsettled, ["key", "context"]).where("id = owner").groupBy("key", "context", "owner", "contexts").agg(*(F.first(x).alias(x) for x in ("slice", "row", "place")))
+    spots = staged(spots, f"{work}/spots")
+    release_shuffles(spark)
+    schema = "key bigint, context bigint, owner bigint, contexts bigint, bytes binary, before int"
+    held = staged(rows.select("slice", "row", "text").groupBy("slice").cogroup(spots.groupBy("slice")).applyInArrow(_context_bytes, schema), f"{work}/unsettled")
+    release_shuffles(spark)
     few = held.where(f"contexts <= {FEW}").drop("contexts").repartition("key").sortWithinPartitions("key").mapInArrow(_refined, "context bigint, mask bigint")
     strings = staged(held.where(f"contexts > {FEW}").select("key", "context", "owner", "bytes", "before").mapInArrow(_exploded, "context bigint, owner bigint, offset int, name bigint"), f"{work}/strings")
     least = strings.groupBy("name").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most").select("name", "least")
@@ -224,15 +235,15 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     settled = staged(owners.join(few.unionAll(many), "context", "left").select("context", "owner", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask")), f"{work}/settled")
     release_shuffles(spark)
 
-    masked = found.select("file", "row", "id", "place", "context").join(settled, "context").select("file", "row", "place", F.expr(f"if(owner < id, {ALL}L, mask)").alias("mask")).where("mask != 0")
-    hits = staged(masked.groupBy("file", "row").agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks")), f"{work}/hits")
+    masked = found.select("slice", "row", "id", "place", "context").join(settled, "context").select("slice", "row", "place", F.expr(f"if(owner < id, {ALL}L, mask)").alias("mask")).where("mask != 0")
+    hits = staged(masked.groupBy("slice", "row").agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks")), f"{work}/hits")
     release_shuffles(spark)
     return rows, hits
 
 
 def _with_spans(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows, hits = repeated_spans(documents, id_col, text_col)
-    return rows.join(hits, ["file", "row"], "left")
+    return rows.join(hits, ["slice", "row"], "left")
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes, np.ndarray]]:
@@ -298,7 +309,7 @@ def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["changed_id", "changed_text"])
 
     rows, hits = repeated_spans(documents, id_col, text_col)
-    changed = rows.join(hits, ["file", "row"]).select("id", "text", "places", "masks").mapInArrow(cut, "changed_id bigint, changed_text string")
+    changed = rows.join(hits, ["slice", "row"]).select("id", "text", "places", "masks").mapInArrow(cut, "changed_id bigint, changed_text string")
     out = documents.join(changed, documents[id_col] == changed["changed_id"], "left")
     new = F.when(F.col("changed_id").isNotNull(), F.col("changed_text")).otherwise(documents[text_col])
     length = F.when(F.col("changed_id").isNotNull(), F.length("changed_text")).otherwise(documents[length_col]) if length_col in documents.columns else None
