@@ -221,7 +221,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
 
     Two texts meet if a band of their signatures is equal, which at a
     similarity of 0.8 fails for 3 pairs in a million. Within a bucket each
-    member is compared with the smallest; where that leaves members of one
+    member is compared with the one that meets most others; where that leaves members of one
     bucket in different classes, all their pairs across classes are compared,
     in blocks, so no link between bucket mates is lost.
     """
@@ -236,12 +236,17 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
 
     sign = F.expr(f"transform(sequence(0, {COMPONENTS // ROWS_A_BAND - 1}), b -> xxhash64(substring(signature, {4 * ROWS_A_BAND} * b + 1, {4 * ROWS_A_BAND})))")
     banded = nodes.where("has_words").select("node", F.posexplode(sign).alias("band", "key"))
-    groups = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1")
-    buckets = staged(banded.join(groups, ["band", "key"]), f"{work}/buckets")
+    groups = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = staged(banded.join(groups, ["band", "key"]), f"{work}/met")
+    # A bucket's head is the member that meets most others over all bands: nearest to the middle of its group.
+    meets = met.groupBy("node").agg(F.sum("size").alias("meets"))
+    heads = met.join(meets, "node").groupBy("band", "key").agg(F.max(F.struct("meets", (-F.col("node")).alias("minus"))).alias("m")).select("band", "key", (-F.col("m.minus")).alias("head"))
+    buckets = staged(met.join(heads, ["band", "key"]), f"{work}/buckets")
     release_shuffles(spark)
 
     floor = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COMPONENTS)
-    star = staged(_estimated(buckets.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), nodes, floor), f"{work}/star")
+    stars = buckets.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    star = staged(_estimated(stars, nodes, floor), f"{work}/star")
     involved = buckets.select("node").distinct()
     texts = staged(known.dropDuplicates(["id"]).join(involved, known["id"] == involved["node"]).select("node", "text"), f"{work}/texts")
     release_shuffles(spark)
@@ -256,7 +261,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
     other = few.select("band", "key", F.col("node").alias("b"), F.col("class").alias("class_b"))
     pairs = few.join(other, ["band", "key"]).where("node > b and class != class_b").select(F.col("node").alias("a"), "b").distinct()
     wide = _pairs_in_blocks(loose.where(f"size > {SMALL}"), nodes, floor, work)
-    rest = staged(_estimated(pairs, nodes, floor).unionAll(wide).distinct().join(star, ["a", "b"], "left_anti"), f"{work}/rest")
+    rest = staged(_estimated(pairs, nodes, floor).unionAll(wide).distinct().join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), f"{work}/rest")
     if not rest.isEmpty():
         more = staged(_verified(rest, texts, threshold, n_words), f"{work}/more")
         labels = staged(components(links.unionAll(more), f"{work}/second"), f"{work}/labels-2")

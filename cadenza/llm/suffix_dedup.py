@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import data_bytes, partitions_for, release_shuffles, shared_dir, staged, text_bytes, utf8
+from cadenza.llm.common import data_bytes, partitions_for, release_shuffles, shared_dir, spans_to_index, staged, text_bytes, utf8
 from cadenza.llm.hashing import Bytes, mix
 from cadenza.llm.token_files import NO_ID
 
@@ -33,7 +33,7 @@ LENGTH, Q = 50, 25
 STRINGS = LENGTH - Q + 1
 ALL = (1 << STRINGS) - 1
 #: Rows of a file that are handled together, and contexts of an anchor up to which one task compares them.
-SLICE_ROWS, FEW = 512, 4096
+SLICE_ROWS, FEW = 256, 4096
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -51,11 +51,12 @@ def anchors(raw: np.ndarray, bounds: np.ndarray) -> tuple[Bytes, np.ndarray, np.
         return held, np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = held.windows(Q) | np.uint64(1)
     least = _sliding(grams, STRINGS, np.minimum)
-    ends = np.repeat(bounds[1:], np.diff(bounds))[: len(least)]
-    least[np.arange(len(least)) + LENGTH > ends] = 0
-    padded = np.concatenate([np.zeros(STRINGS - 1, np.uint64), least, np.zeros(STRINGS - 1, np.uint64)])
-    is_anchor = _sliding(padded, STRINGS, np.maximum)[: len(grams)] == grams
-    places = np.flatnonzero(is_anchor)
+    # No string begins in the last 49 bytes of a text.
+    tails = np.minimum(np.diff(bounds), LENGTH - 1)
+    at = spans_to_index(bounds[1:] - tails, tails)
+    least[at[at < len(least)]] = 0
+    least = np.pad(least, STRINGS - 1)
+    places = np.flatnonzero(_sliding(least, STRINGS, np.maximum)[: len(grams)] == grams)
     return held, places, grams[places]
 
 
