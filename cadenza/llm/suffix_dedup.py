@@ -103,7 +103,9 @@ def _shared_buckets(table: pa.Table) -> pa.Table:
     every = np.concatenate([x for pair in lists for x in pair] or [np.zeros(0, np.uint64)])
     keys, counts = np.unique(every, return_counts=True)
     shared = np.union1d(keys[counts > 1], np.concatenate([b for _, b in lists] or [np.zeros(0, np.uint64)]))
-    found = [np.concatenate([a[np.isin(a, shared, assume_unique=True)], b]) for a, b in lists]
+    del every, keys, counts
+    at = lambda a: np.minimum(np.searchsorted(shared, a), max(len(shared) - 1, 0))
+    found = [np.concatenate([a[shared[at(a)] == a] if len(shared) else a[:0], b]) for a, b in lists]
     keep = [k for k, x in enumerate(found) if len(x)]
     part = table["part"][0].as_py()
     return pa.table([pa.array([slices[k] for k in keep], pa.int64()), pa.array([part] * len(keep), pa.int32()), pa.array([_six(found[k]) for k in keep], pa.binary())], names=["slice", "part", "keys"])
@@ -210,7 +212,7 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = documents.select(
         F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {SLICE_ROWS}")).alias("slice"), F.col("_metadata.row_index").alias("row"), F.coalesce(documents[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(documents[text_col], F.lit("")).alias("text")
     )
-    parts = min(65536, partitions_for(spark, data_bytes(documents, text_col), 16e6))
+    parts = min(65536, partitions_for(spark, data_bytes(documents, text_col), 8e6))
     blobs = rows.select("slice", "text").mapInArrow(lambda it: _bucket_blobs(it, parts), "part int, slice bigint, one binary, several binary")
     shared = staged(blobs.groupBy("part").applyInArrow(_shared_buckets, "slice bigint, part int, keys binary"), f"{work}/shared")
     release_shuffles(spark)
