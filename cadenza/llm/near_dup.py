@@ -18,12 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SLICE_BYTES, byte_lengths, release_shuffles, shared_dir, spans_to_index, staged, text_bytes, text_slices, utf8
+from cadenza.llm.common import SLICE_BYTES, byte_lengths, drop_path, release_shuffles, shared_dir, spans_to_index, staged, text_bytes, text_slices, utf8
 from cadenza.llm.hashing import Bytes, mix, words
 
 COMPONENTS, ROWS_A_BAND = 96, 4
 #: Members of a bucket compared pair by pair at once, and from which size on that is done in blocks.
-BLOCK, SMALL = 256, 16
+BLOCK, SMALL = 512, 16
+#: Components of the finer signature that tells members of large buckets apart, and texts that get theirs at once.
+FINE, FINE_TEXTS = 1024, 1024
 
 
 def shingles(texts: pa.Array, n_words: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -106,6 +108,21 @@ def _signatures(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[pa.
             at += k
 
 
+def _fine_signatures(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[pa.RecordBatch]:
+    """Of ``node, text``: the low byte of each of FINE components."""
+    for batch in batches:
+        at = 0
+        for keys, counts, per_text in shingles(batch.column(1), n_words):
+            ends = np.concatenate([[0], np.cumsum(per_text)])
+            for a in range(0, len(per_text), FINE_TEXTS):
+                b = min(a + FINE_TEXTS, len(per_text))
+                part = slice(ends[a], ends[b])
+                flat = prob_minhash(keys[part], counts[part].astype(np.float64), per_text[a:b], FINE).astype(np.uint8)
+                fine = pa.FixedSizeBinaryArray.from_buffers(pa.binary(FINE), b - a, [None, pa.py_buffer(flat)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at + a, b - a), fine], names=["node", "fine"])
+            at += len(per_text)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), COMPONENTS)
 
@@ -176,31 +193,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, n_words: int
     return members.unionAll(heads).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first()).mapInArrow(check, "a bigint, b bigint")
 
 
-def _pairs_in_blocks(open_buckets: DataFrame, nodes: DataFrame, floor: float, work: str) -> DataFrame:
-    """Pairs of different classes in large buckets, whose signatures are near, by blocks of members."""
+def _floor(threshold: float, m: int) -> float:
+    """The share of m components that texts of that similarity agree in, but for one pair in 30,000."""
+    return threshold - 4 * math.sqrt(threshold * (1 - threshold) / m)
+
+
+def _pairs_in_blocks(open_buckets: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, n_words: int, work: str) -> DataFrame:
+    """Pairs of different classes in large buckets, whose signatures are near, by blocks of members.
+
+    Pairs that the first signature leaves are told apart by a finer one. A pair
+    is given once, by the first of the bands that it agrees in.
+    """
+    signed = nodes.join(open_buckets.select("node").distinct(), "node", "left_semi").select("node", "signature")
+    wanted = texts.join(open_buckets.select("node").distinct(), "node", "left_semi").select("node", "text")
+    signed = staged(signed.join(wanted.mapInArrow(lambda it: _fine_signatures(it, n_words), "node bigint, fine binary"), "node"), f"{work}/fine")
     sized = open_buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
     salted = open_buckets.join(sized, ["band", "key"]).withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("salt", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    rows = salted.join(nodes.select("node", "signature"), "node")
     # A member of block i goes to the groups (i, j) and (j, i) of all blocks j.
-    dealt = rows.select("band", "key", "node", "class", "signature", F.col("salt").alias("own"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = salted.join(signed, "node").select("band", "key", "node", "class", "signature", "fine", F.col("salt").alias("own"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     dealt = dealt.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    floor, fine_floor = _floor(threshold, COMPONENTS), _floor(threshold, FINE)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("node")
         node, label, own = (table[x].to_numpy() for x in ("node", "class", "own"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        i, j, band = (table[x][0].as_py() for x in ("i", "j", "band"))
         signatures = _matrix(table["signature"].combine_chunks())
+        by_component = np.ascontiguousarray(signatures.T)
+        fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint8).reshape(len(node), FINE)
         rows_a, rows_b = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out_a, out_b = [], []
         for a in range(0, len(rows_a), 32):
             part = rows_a[a : a + 32]
-            same = np.zeros((len(part), len(rows_b)), np.int32)
-            for c in range(COMPONENTS):
-                same += signatures[part, c][:, None] == signatures[rows_b, c][None, :]
+            same = np.zeros((len(part), len(rows_b)), np.uint8)
+            for values in by_component:
+                same += values[part][:, None] == values[rows_b][None, :]
             near = (same >= floor * COMPONENTS) & (label[part][:, None] != label[rows_b][None, :]) & ((node[part][:, None] > node[rows_b][None, :]) | (i != j))
             x, y = np.nonzero(near)
-            out_a.append(node[part[x]])
-            out_b.append(node[rows_b[y]])
+            x, y = part[x], rows_b[y]
+            for k in range(0, len(x), 4096):
+                p, q = x[k : k + 4096], y[k : k + 4096]
+                earlier = (signatures[p, : band * ROWS_A_BAND] == signatures[q, : band * ROWS_A_BAND]).reshape(len(p), band, ROWS_A_BAND).all(2).any(1)
+                p, q = p[~earlier], q[~earlier]
+                alike = (fine[p] == fine[q]).mean(1) >= fine_floor
+                out_a.append(node[p[alike]])
+                out_b.append(node[q[alike]])
         a, b = np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
         return pa.table([np.maximum(a, b), np.minimum(a, b)], names=["a", "b"])
 
@@ -223,7 +260,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
     similarity of 0.8 fails for 3 pairs in a million. Within a bucket each
     member is compared with the one that meets most others; where that leaves members of one
     bucket in different classes, all their pairs across classes are compared,
-    in blocks, so no link between bucket mates is lost.
+    in blocks and by a finer signature, so no link between bucket mates is lost.
     """
     spark = documents.sparkSession
     work = shared_dir(spark, "near-dup")
@@ -232,7 +269,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
     signed = staged(known.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), "text").mapInArrow(lambda it: _signatures(it, n_words), "id bigint, digest binary, has_words boolean, signature binary"), f"{work}/signed")
     by_text = signed.groupBy("digest").agg(F.min("id").alias("node"), F.first("has_words").alias("has_words"), F.first("signature").alias("signature"))
     nodes = staged(by_text, f"{work}/nodes")
-    equal = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest").select("id", "node")
+    equal = staged(signed.select("id", "digest").join(nodes.select("digest", "node"), "digest").select("id", "node"), f"{work}/equal")
+    drop_path(spark, f"{work}/signed")
 
     sign = F.expr(f"transform(sequence(0, {COMPONENTS // ROWS_A_BAND - 1}), b -> xxhash64(substring(signature, {4 * ROWS_A_BAND} * b + 1, {4 * ROWS_A_BAND})))")
     banded = nodes.where("has_words").select("node", F.posexplode(sign).alias("band", "key"))
@@ -244,7 +282,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
     buckets = staged(met.join(heads, ["band", "key"]), f"{work}/buckets")
     release_shuffles(spark)
 
-    floor = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COMPONENTS)
+    drop_path(spark, f"{work}/met")
+    floor = _floor(threshold, COMPONENTS)
     stars = buckets.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     star = staged(_estimated(stars, nodes, floor), f"{work}/star")
     involved = buckets.select("node").distinct()
@@ -260,11 +299,13 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
     few = loose.where(f"size <= {SMALL}")
     other = few.select("band", "key", F.col("node").alias("b"), F.col("class").alias("class_b"))
     pairs = few.join(other, ["band", "key"]).where("node > b and class != class_b").select(F.col("node").alias("a"), "b").distinct()
-    wide = _pairs_in_blocks(loose.where(f"size > {SMALL}"), nodes, floor, work)
+    wide = _pairs_in_blocks(loose.where(f"size > {SMALL}"), nodes, texts, threshold, n_words, work)
     rest = staged(_estimated(pairs, nodes, floor).unionAll(wide).distinct().join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), f"{work}/rest")
     if not rest.isEmpty():
         more = staged(_verified(rest, texts, threshold, n_words), f"{work}/more")
         labels = staged(components(links.unionAll(more), f"{work}/second"), f"{work}/labels-2")
+    drop_path(spark, *(f"{work}/{x}" for x in ("nodes", "buckets", "star", "texts", "links", "first", "loose", "fine", "block-pairs", "rest", "more", "second")))
+    release_shuffles(spark)
 
     classed = equal.join(labels, "node", "left").select("id", F.coalesce("class", "node").alias("class_id"))
     sizes = classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
