@@ -82,6 +82,8 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stored = hits.where("stored").select("digest", F.col("text").alias("stored_text"))
     compared = hits.join(stored, "digest")
     shared = staged(compared.where("text != stored_text").select("digest").distinct(), f"{work}/shared")
+    drop_path(spark, f"{work}/hits")
+    release_shuffles(spark)
 
     columns = [F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), F.expr("file = keep.file and row = keep.row").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
     if shared.isEmpty():

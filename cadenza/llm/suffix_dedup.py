@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import data_bytes, partitions_for, release_shuffles, shared_dir, spans_to_index, staged, text_bytes, utf8
+from cadenza.llm.common import data_bytes, drop_path, partitions_for, release_shuffles, shared_dir, spans_to_index, staged, text_bytes, utf8
 from cadenza.llm.hashing import Bytes, mix
 from cadenza.llm.token_files import NO_ID
 
@@ -219,6 +219,7 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     schema = "slice bigint, row bigint, id bigint, place bigint, key bigint, context bigint"
     found = staged(rows.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(lambda a, b: _contexts(a, b, parts), schema), f"{work}/contexts")
+    drop_path(spark, f"{work}/shared")
     release_shuffles(spark)
 
     owners = staged(found.groupBy("key", "context").agg(F.min("id").alias("owner")), f"{work}/owners")
@@ -230,16 +231,19 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     release_shuffles(spark)
     schema = "key bigint, context bigint, owner bigint, contexts bigint, bytes binary, before int"
     held = staged(rows.select("slice", "row", "text").groupBy("slice").cogroup(spots.groupBy("slice")).applyInArrow(_context_bytes, schema), f"{work}/unsettled")
+    drop_path(spark, f"{work}/spots")
     release_shuffles(spark)
     few = held.where(f"contexts <= {FEW}").drop("contexts").repartition("key").sortWithinPartitions("key").mapInArrow(_refined, "context bigint, mask bigint")
     strings = staged(held.where(f"contexts > {FEW}").select("key", "context", "owner", "bytes", "before").mapInArrow(_exploded, "context bigint, owner bigint, offset int, name bigint"), f"{work}/strings")
     least = strings.groupBy("name").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most").select("name", "least")
     many = strings.join(least, "name").where("least < owner").groupBy("context").agg(F.expr("bit_or(shiftleft(1L, offset))").alias("mask"))
     settled = staged(owners.join(few.unionAll(many), "context", "left").select("context", "owner", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask")), f"{work}/settled")
+    drop_path(spark, *(f"{work}/{x}" for x in ("owners", "unsettled", "strings")))
     release_shuffles(spark)
 
     masked = found.select("slice", "row", "id", "place", "context").join(settled, "context").select("slice", "row", "place", F.expr(f"if(owner < id, {ALL}L, mask)").alias("mask")).where("mask != 0")
     hits = staged(masked.groupBy("slice", "row").agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks")), f"{work}/hits")
+    drop_path(spark, f"{work}/contexts", f"{work}/settled")
     release_shuffles(spark)
     return rows, hits
 
