@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to ``path`` and read it back: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
