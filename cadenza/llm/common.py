@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -47,8 +49,15 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the files of shuffles that nothing refers to any more."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner delete the files of shuffles that nothing refers to any more.
+
+    Python's unused DataFrames go first: they still hold those of the JVM, whose
+    plans are free only after a second collection.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def data_bytes(df: DataFrame, text_col: str) -> float:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import data_bytes, drop_path, partitions_for, release_shuffles, shared_dir, spans_to_index, staged, text_bytes, utf8
+from cadenza.llm.common import byte_lengths, data_bytes, drop_path, partitions_for, release_shuffles, shared_dir, spans_to_index, staged, text_bytes, text_slices, utf8
 from cadenza.llm.hashing import Bytes, mix
 from cadenza.llm.token_files import NO_ID
 
@@ -34,6 +34,8 @@ STRINGS = LENGTH - Q + 1
 ALL = (1 << STRINGS) - 1
 #: Rows of a file that are handled together, and contexts of an anchor up to which one task compares them.
 SLICE_ROWS, FEW = 256, 4096
+#: Bytes of text whose anchors are found at once; a longer text is handled whole.
+ANCHOR_BYTES = 1_000_000
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -76,9 +78,13 @@ def _bucket_blobs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
     for batch in batches:
         texts, own = utf8(batch.column(1)), batch.column(0).to_numpy()
         for a, b in _runs(own):
-            raw, bounds = text_bytes(texts.slice(a, b - a))
-            _, places, keys = anchors(raw, bounds)
-            text = np.searchsorted(bounds, places, "right").astype(np.uint64)
+            part_of = texts.slice(a, b - a)
+            met = []
+            for c, d in text_slices(byte_lengths(part_of), ANCHOR_BYTES):
+                raw, bounds = text_bytes(part_of.slice(c, d - c))
+                _, places, keys = anchors(raw, bounds)
+                met.append((keys, (c + np.searchsorted(bounds, places, "right")).astype(np.uint32)))
+            keys, text = (np.concatenate(x) for x in zip(*met, strict=True))
             order = np.lexsort((text, keys))
             keys, text = keys[order], text[order]
             new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -118,20 +124,22 @@ def _contexts(texts: pa.Table, shared: pa.Table, parts: int) -> pa.Table:
     texts = texts.combine_chunks()
     if not texts.num_rows or not shared.num_rows:
         return pa.table([pa.array([], t) for t in types], names=names)
-    raw, bounds = text_bytes(utf8(texts["text"].combine_chunks()))
-    held, places, keys = anchors(raw, bounds)
-    part = (keys >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)
     known = np.concatenate([_wide(x) | (np.uint64(p) << np.uint64(48)) for p, x in zip(shared["part"].to_pylist(), shared["keys"].to_pylist(), strict=True)])
-    wanted = np.isin((keys & np.uint64((1 << 48) - 1)) | (part << np.uint64(48)), known)
-    places, keys = places[wanted], keys[wanted]
-    text = np.searchsorted(bounds, places, "right") - 1
-    starts, ends = np.maximum(places - (STRINGS - 1), bounds[text]), np.minimum(places + LENGTH, bounds[text + 1])
-    before = places - starts
-    # The context's identifier from those of the parts before, at and behind the anchor.
-    context = mix(mix(held.hashes(starts, places) + before.astype(np.uint64)) + mix(keys + (ends - places).astype(np.uint64)) + held.hashes(places + Q, ends))
-    at = pa.array(text)
-    columns = [texts["slice"].take(at), texts["row"].take(at), texts["id"].take(at), pa.array(places - bounds[text]), pa.array(keys.view(np.int64)), pa.array(context.view(np.int64))]
-    return pa.table(columns, names=names)
+    column, out = utf8(texts["text"].combine_chunks()), []
+    for a, b in text_slices(byte_lengths(column), ANCHOR_BYTES):
+        raw, bounds = text_bytes(column.slice(a, b - a))
+        held, places, keys = anchors(raw, bounds)
+        part = (keys >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)
+        wanted = np.isin((keys & np.uint64((1 << 48) - 1)) | (part << np.uint64(48)), known)
+        places, keys = places[wanted], keys[wanted]
+        text = np.searchsorted(bounds, places, "right") - 1
+        starts, ends = np.maximum(places - (STRINGS - 1), bounds[text]), np.minimum(places + LENGTH, bounds[text + 1])
+        before = places - starts
+        # The context's identifier from those of the parts before, at and behind the anchor.
+        context = mix(mix(held.hashes(starts, places) + before.astype(np.uint64)) + mix(keys + (ends - places).astype(np.uint64)) + held.hashes(places + Q, ends))
+        out.append((a + text, places - bounds[text], keys.view(np.int64), context.view(np.int64)))
+    at, *own = (pa.array(np.concatenate(x)) for x in zip(*out, strict=True))
+    return pa.table([texts["slice"].take(at), texts["row"].take(at), texts["id"].take(at), *own], names=names)
 
 
 def _context_bytes(texts: pa.Table, spots: pa.Table) -> pa.Table:
