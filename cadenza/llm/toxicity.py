@@ -52,6 +52,11 @@ def _margins(weights: np.ndarray, bias: float, found: np.ndarray, counts: np.nda
     return bias + (sums[ends] - sums[ends - counts]) / np.sqrt(np.maximum(counts, 1))
 
 
+def _texts_with(rows: list[np.ndarray], size: int) -> np.ndarray:
+    """How many texts have each feature; a few hundred texts at a time, as numpy widens what it counts."""
+    return sum((np.bincount(np.concatenate([np.unique(x) for x in rows[a : a + 256]]), minlength=size) for a in range(0, len(rows), 256)), np.zeros(size, np.int64))
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, smooth: float = 1.0, start: float = 0.1, seed: int = 7) -> Model:
     """Adam on the non-negative risk with the logistic loss; each row is one text's feature numbers.
 
@@ -62,7 +67,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     if not positive or not unlabelled:
         return Model(w, bias)
     # Features weigh as they tell toxic from unlabelled texts: the log ratio of the shares of texts that have them.
-    with_it = [np.bincount(np.concatenate([np.unique(x) for x in rows]), minlength=len(w)) for rows in (positive, unlabelled)]
+    with_it = [_texts_with(rows, len(w)) for rows in (positive, unlabelled)]
     ratio = np.log((with_it[0] + smooth) / (len(positive) + 2 * smooth)) - np.log((with_it[1] + smooth) / (len(unlabelled) + 2 * smooth))
     ratio = np.where(with_it[0] + with_it[1] > 2, ratio, 0.0).astype(np.float32)
     w += start
@@ -131,10 +136,8 @@ def learn(documents: DataFrame, labels: DataFrame, max_positive: int = 2000, max
                 at += len(counts)
 
     # At most max_positive + max_unlabelled ids are broadcast.
-    table = rows.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(found, "id bigint, features array<int>").toArrow().sort_by("id")
-    column = table["features"].combine_chunks()
-    offsets, numbers, names = column.offsets.to_numpy(), column.values.to_numpy(), table["id"].to_pylist()
-    one = {i: numbers[a:b] for i, a, b in zip(names, offsets[:-1], offsets[1:], strict=True)}
+    table = rows.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(found, "id bigint, features array<int>").toArrow()
+    one = {i: x.values.to_numpy() for batch in table.to_batches() for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)}
     return train([one[i] for i in sorted(ids[0]) if i in one], [one[i] for i in sorted(ids[1]) if i in one], prior)
 
 
