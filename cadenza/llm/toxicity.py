@@ -112,7 +112,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(documents: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabelled: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on a bounded sample, as training runs on the driver.
+    """Train on a bounded sample, as one task trains; only the model comes to the driver.
 
     Confirmed toxic rows outside the held-out fold, ``max_positive`` at most,
     and any rows outside it, ``max_unlabelled`` at most, their labels unread:
@@ -135,10 +135,15 @@ def learn(documents: DataFrame, labels: DataFrame, max_positive: int = 2000, max
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), pa.ListArray.from_arrays(bounds, pa.array(numbers))], names=["id", "features"])
                 at += len(counts)
 
-    # At most max_positive + max_unlabelled ids are broadcast.
-    table = rows.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(found, "id bigint, features array<int>").toArrow()
-    one = {i: x.values.to_numpy() for batch in table.to_batches() for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)}
-    return train([one[i] for i in sorted(ids[0]) if i in one], [one[i] for i in sorted(ids[1]) if i in one], prior)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = {i: x.values.to_numpy() for batch in batches for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)}
+        model = train([one[i] for i in sorted(ids[0]) if i in one], [one[i] for i in sorted(ids[1]) if i in one], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([float(model.bias)])], names=["weights", "bias"])
+
+    # At most max_positive + max_unlabelled ids are broadcast, and as many texts' features meet in the task that trains.
+    sample = rows.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(found, "id bigint, features array<int>")
+    model = sample.repartition(1).mapInArrow(fit, "weights binary, bias double").first()
+    return Model(np.frombuffer(model["weights"], np.float32), model["bias"]) if model else train([], [], prior)
 
 
 def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
