@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handed to numpy at once, in bytes; bounds a Python worker's memory.
@@ -48,6 +48,11 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def at_locator(documents: DataFrame, rows: DataFrame) -> Column:
+    """The condition that joins ``rows`` (``file, row``) to a DataFrame read from files."""
+    return (documents["_metadata.file_path"] == rows["file"]) & (documents["_metadata.row_index"] == rows["row"])
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the files of shuffles that nothing refers to any more.
 

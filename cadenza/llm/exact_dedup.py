@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import data_bytes, drop_path, release_shuffles, shared_dir, staged, text_column
+from cadenza.llm.common import at_locator, data_bytes, drop_path, release_shuffles, shared_dir, staged, text_column
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -63,6 +63,11 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whatever their names, are not read. ``documents`` must be read from files,
     as a row's locator is its file and row number.
     """
+    return _verdicts(documents, id_col, text_col).drop("file", "row")
+
+
+def _verdicts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of exact_dedup() with their locators ``file, row``."""
     spark = documents.sparkSession
     work = shared_dir(spark, "exact-dedup")
     rows = documents.select(
@@ -71,7 +76,7 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digested = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
     digests = staged(digested.select("digest", "id", "file", "row"), f"{work}/digests")
     if digests.isEmpty():
-        return digests.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
+        return digests.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"), "file", "row")
     state = staged(stream_digests(spark, f"{work}/digests", f"{work}/stream", max(12, math.ceil(data_bytes(documents, text_col) / 16e6))), f"{work}/state")
     drop_path(spark, f"{work}/stream")
     release_shuffles(spark)
@@ -85,7 +90,7 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     drop_path(spark, f"{work}/hits")
     release_shuffles(spark)
 
-    columns = [F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), F.expr("file = keep.file and row = keep.row").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
+    columns = [F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), F.expr("file = keep.file and row = keep.row").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "file", "row"]
     if shared.isEmpty():
         return digests.join(state, "digest").select(*columns)
     # Two texts with one digest: group these rows by their texts.
@@ -97,7 +102,8 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows without those whose text another kept row has; all columns stay.
 
-    Rows are matched by their ids, which must be unique here.
+    Exactly one row of each text stays, whatever rows share its id: verdicts
+    are joined back by file and row number.
     """
-    kept = exact_dedup(documents, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col))
-    return documents.join(kept, documents[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    kept = _verdicts(documents, id_col, text_col).where("kept").select("file", "row")
+    return documents.join(kept, at_locator(documents, kept), "left_semi")

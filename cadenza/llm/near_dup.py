@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SLICE_BYTES, byte_lengths, drop_path, release_shuffles, shared_dir, spans_to_index, staged, text_bytes, text_slices, utf8
+from cadenza.llm.common import SLICE_BYTES, at_locator, byte_lengths, drop_path, release_shuffles, shared_dir, spans_to_index, staged, text_bytes, text_slices, utf8
 from cadenza.llm.hashing import Bytes, mix, words
 
 COMPONENTS, ROWS_A_BAND = 96, 4
@@ -100,11 +100,11 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def _signatures(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
-        for keys, counts, per_text in shingles(batch.column(2), n_words):
+        for keys, counts, per_text in shingles(batch.column(4), n_words):
             k = len(per_text)
             flat = prob_minhash(keys, counts.astype(np.float64), per_text)
             signature = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COMPONENTS), k, [None, pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k), batch.column(1).slice(at, k), pa.array(per_text > 0), signature], names=["id", "digest", "has_words", "signature"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, k) for c in range(4)), pa.array(per_text > 0), signature], names=["id", "file", "row", "digest", "has_words", "signature"])
             at += k
 
 
@@ -253,8 +253,12 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
     connected components, named by their smallest id, and that document is
     kept. Equal texts are folded before they are banded. Null and empty texts
     count as equal texts without words. A null id makes a class of its own,
-    without links; ids must be unique otherwise; an empty table gives no
-    rows; other columns are not read.
+    without links; an empty table gives no rows; other columns are not read.
+    ``documents`` must be read from files: rows are told apart by file and
+    number, so rows of one id with different texts are different documents (two
+    classes may then have the same name), repeated rows count one by one, and
+    of a class's rows with the smallest id the first by file and number alone
+    is kept.
 
     Two texts meet if a band of their signatures is equal, which at a
     similarity of 0.8 fails for 3 pairs in a million. Within a bucket each
@@ -262,14 +266,21 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
     bucket in different classes, all their pairs across classes are compared,
     in blocks and by a finer signature, so no link between bucket mates is lost.
     """
+    return _verdicts(documents, threshold, n_words, id_col, text_col).drop("file", "row")
+
+
+def _verdicts(documents: DataFrame, threshold: float, n_words: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of near_duplicates() with their locators ``file, row``."""
     spark = documents.sparkSession
     work = shared_dir(spark, "near-dup")
-    rows = documents.select(documents[id_col].cast("bigint").alias("id"), F.coalesce(documents[text_col], F.lit("")).alias("text"))
+    locator = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    rows = documents.select(documents[id_col].cast("bigint").alias("id"), *locator, F.coalesce(documents[text_col], F.lit("")).alias("text"))
     known = rows.where("id is not null")
-    signed = staged(known.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), "text").mapInArrow(lambda it: _signatures(it, n_words), "id bigint, digest binary, has_words boolean, signature binary"), f"{work}/signed")
-    by_text = signed.groupBy("digest").agg(F.min("id").alias("node"), F.first("has_words").alias("has_words"), F.first("signature").alias("signature"))
-    nodes = staged(by_text, f"{work}/nodes")
-    equal = staged(signed.select("id", "digest").join(nodes.select("digest", "node"), "digest").select("id", "node"), f"{work}/equal")
+    signed = staged(known.select("id", "file", "row", F.unhex(F.sha2("text", 256)).alias("digest"), "text").mapInArrow(lambda it: _signatures(it, n_words), "id bigint, file string, row bigint, digest binary, has_words boolean, signature binary"), f"{work}/signed")
+    by_text = signed.groupBy("digest").agg(F.min(F.struct("id", "file", "row")).alias("first"), F.first("has_words").alias("has_words"), F.first("signature").alias("signature"))
+    # A text's node is its own even where texts share an id; written once, its number no longer changes.
+    nodes = staged(by_text.withColumn("node", F.monotonically_increasing_id()), f"{work}/nodes")
+    equal = staged(signed.select("id", "file", "row", "digest").join(nodes.select("digest", "node"), "digest").select("id", "file", "row", "node"), f"{work}/equal")
     drop_path(spark, f"{work}/signed")
 
     sign = F.expr(f"transform(sequence(0, {COMPONENTS // ROWS_A_BAND - 1}), b -> xxhash64(substring(signature, {4 * ROWS_A_BAND} * b + 1, {4 * ROWS_A_BAND})))")
@@ -286,8 +297,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
     floor = _floor(threshold, COMPONENTS)
     stars = buckets.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     star = staged(_estimated(stars, nodes, floor), f"{work}/star")
-    involved = buckets.select("node").distinct()
-    texts = staged(known.dropDuplicates(["id"]).join(involved, known["id"] == involved["node"]).select("node", "text"), f"{work}/texts")
+    involved = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "first.file", "first.row")
+    texts = staged(known.join(involved, ["file", "row"]).select("node", "text"), f"{work}/texts")
     release_shuffles(spark)
     links = staged(_verified(star, texts, threshold, n_words), f"{work}/links")
 
@@ -307,15 +318,15 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
     drop_path(spark, *(f"{work}/{x}" for x in ("nodes", "buckets", "star", "texts", "links", "first", "loose", "fine", "block-pairs", "rest", "more", "second")))
     release_shuffles(spark)
 
-    classed = equal.join(labels, "node", "left").select("id", F.coalesce("class", "node").alias("class_id"))
-    sizes = classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    kept = F.col("id") == F.col("class_id")
-    found = classed.join(sizes, "class_id").select(F.col("id").alias("doc_id"), "class_id", "class_size", kept.alias("kept"))
-    lone = rows.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"))
+    classed = equal.join(labels, "node", "left").select("id", "file", "row", F.coalesce("class", "node").alias("class"))
+    classes = classed.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct("id", "file", "row")).alias("keep"))
+    kept = F.expr("file = keep.file and row = keep.row")
+    found = classed.join(classes, "class").select(F.col("id").alias("doc_id"), F.col("keep.id").alias("class_id"), "class_size", kept.alias("kept"), "file", "row")
+    lone = rows.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"), "file", "row")
     return found.unionAll(lone)
 
 
 def keep_one_of_each_class(documents: DataFrame, threshold: float = 0.8, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows without those of a class whose smallest id is another's; ids must be unique."""
-    gone = near_duplicates(documents, threshold, n_words, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col))
-    return documents.join(gone, id_col, "left_anti").select(documents.columns)
+    """The input's rows without those of a class that keeps another row; verdicts are joined back by file and row number."""
+    gone = _verdicts(documents, threshold, n_words, id_col, text_col).where("not kept").select("file", "row")
+    return documents.join(gone, at_locator(documents, gone), "left_anti")

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import byte_lengths, data_bytes, drop_path, partitions_for, release_shuffles, shared_dir, spans_to_index, staged, text_bytes, text_slices, utf8
@@ -213,12 +213,17 @@ def covered(n_bytes: int, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return np.stack([starts[np.concatenate([[0], breaks])], starts[np.concatenate([breaks - 1, [len(starts) - 1]])] + LENGTH], 1)
 
 
+def _slice(documents: DataFrame) -> Column:
+    """The number of a row's slice: SLICE_ROWS rows of one file."""
+    return F.xxhash64(documents["_metadata.file_path"], F.floor(documents["_metadata.row_index"] / SLICE_ROWS).cast("bigint"))
+
+
 def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(rows, hits)``: the input as ``slice, row, id, text``, and for rows with removable strings their anchors' ``places`` and ``masks``."""
     spark = documents.sparkSession
     work = shared_dir(spark, "suffix-dedup")
     rows = documents.select(
-        F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {SLICE_ROWS}")).alias("slice"), F.col("_metadata.row_index").alias("row"), F.coalesce(documents[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(documents[text_col], F.lit("")).alias("text")
+        _slice(documents).alias("slice"), F.col("_metadata.row_index").alias("row"), F.coalesce(documents[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(documents[text_col], F.lit("")).alias("text")
     )
     parts = min(65536, partitions_for(spark, data_bytes(documents, text_col), 8e6))
     blobs = rows.select("slice", "text").mapInArrow(lambda it: _bucket_blobs(it, parts), "part int, slice bigint, one binary, several binary")
@@ -302,14 +307,17 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The input with repeated strings cut out of its texts; a character goes if all its bytes do.
 
-    Rows and columns stay; ids must be unique. ``length_col``, if there, is
-    set to the new number of characters of changed texts.
+    Rows and columns stay, each row once, whatever rows share its id: cut texts
+    are joined back by file and row number. As in suffix_dedup(), rows of one id
+    are no smaller than each other, so neither loses what only they have in
+    common. ``length_col``, if there, is set to the new number of characters of
+    changed texts.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = [], []
-            for name, data, spans in _each(batch):
+            texts = []
+            for _, data, spans in _each(batch):
                 kept, at = [], 0
                 for a, b in spans.tolist():
                     # Bytes 10xxxxxx go on with a character: one that begins before or ends behind the span stays whole.
@@ -319,13 +327,13 @@ def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
                         b -= 1
                     kept.append(data[at:a])
                     at = max(at, b)
-                ids.append(name)
                 texts.append((b"".join(kept) + data[at:]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["changed_id", "changed_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), pa.array(texts, pa.string())], names=["slice", "row", "changed_text"])
 
     rows, hits = repeated_spans(documents, id_col, text_col)
-    changed = rows.join(hits, ["slice", "row"]).select("id", "text", "places", "masks").mapInArrow(cut, "changed_id bigint, changed_text string")
-    out = documents.join(changed, documents[id_col] == changed["changed_id"], "left")
-    new = F.when(F.col("changed_id").isNotNull(), F.col("changed_text")).otherwise(documents[text_col])
-    length = F.when(F.col("changed_id").isNotNull(), F.length("changed_text")).otherwise(documents[length_col]) if length_col in documents.columns else None
+    changed = rows.join(hits, ["slice", "row"]).select("id", "text", "places", "masks", "slice", "row").mapInArrow(cut, "slice bigint, row bigint, changed_text string")
+    out = documents.join(changed, (_slice(documents) == changed["slice"]) & (documents["_metadata.row_index"] == changed["row"]), "left")
+    is_cut = changed["changed_text"].isNotNull()
+    new = F.when(is_cut, changed["changed_text"]).otherwise(documents[text_col])
+    length = F.when(is_cut, F.length(changed["changed_text"])).otherwise(documents[length_col]) if length_col in documents.columns else None
     return out.select(*(new.alias(c) if c == text_col else length.cast(documents.schema[c].dataType).alias(c) if c == length_col else documents[c] for c in documents.columns))

@@ -1,4 +1,9 @@
-"""The documents table made ready for training: five stages, each on what the one before kept."""
+"""The documents table made ready for training: five stages, each on what the one before kept.
+
+Rows are told apart by file and row number, never by id. Of repeated rows (one
+id, one text, a null id too) one is left, as of any equal texts; rows of one id
+with different texts are different documents in every stage.
+"""
 
 from __future__ import annotations
 
@@ -18,12 +23,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts one row, that with the largest id."""
     return exact_dedup.keep_one_of_each(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the smallest id."""
+    """Of each near-duplicate class one row, that with the smallest id; all rows without an id."""
     return near_dup.keep_one_of_each_class(docs)
 
 

@@ -263,3 +263,67 @@ def test_pipeline(spark):
 def test_arrow_slices_keep_their_place():
     texts = pa.array(["x y", None, "z"]).slice(1)
     assert [len(c) for _, c in toxicity.features(texts)] == [2]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """Repeated rows, ids with several texts and null ids, in two files; passages of 60 bytes and near copies."""
+    words = [f"w{i}" for i in range(400)]
+    near, passage = " ".join(words[:200]), "".join(chr(97 + i * 7 % 26) + str(i % 10) for i in range(30))
+    rows = [(5, "A"), (9, "A"), (5, "B"), (9, "A"), (None, "C"), (None, "C"), (None, "D"), (7, "D"), (None, "A"), (5, "A")]
+    rows += [(20, near), (20, " ".join(words[200:])), (21, near + " more"), (21, near + " more"), (22, " ".join(words[200:]) + " more"), (20, near)]
+    rows += [(30, f"x{passage}y"), (31, f"left {passage} right"), (31, f"left {passage} right"), (31, f"other {passage}"), (31, "whole")]
+    folder = str(tmp_path_factory.mktemp("r") / "documents.parquet")
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder), rows
+
+
+def pairs(df):
+    return Counter((r.doc_id, r.text) for r in df.collect())
+
+
+def test_exact_dedup_of_repeated_rows(repeated):
+    docs, rows = repeated
+    best = {}
+    for i, t in rows:
+        best[t] = max(best.get(t, -1), -1 if i is None else i)
+    assert pairs(exact_dedup.keep_one_of_each(docs)) == Counter((None if i < 0 else i, t) for t, i in best.items())
+
+
+def test_near_dedup_of_repeated_rows(repeated):
+    docs, rows = repeated
+    # Classes by hand: equal texts, and each of the two long texts with its copy that has a word more.
+    base = [(i, t, t.removesuffix(" more")) for i, t in rows]
+    least = {}
+    for i, t, b in base:
+        if i is not None and (b not in least or i < least[b][0]):
+            least[b] = (i, t)
+    assert pairs(near_dup.keep_one_of_each_class(docs)) == Counter(least.values()) + Counter((i, t) for i, t, _ in base if i is None)
+    sizes = Counter(b for i, _, b in base if i is not None)
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in near_dup.near_duplicates(docs).collect())
+    assert got == Counter((i, None, 1) if i is None else (i, least[b][0], sizes[b]) for i, _, b in base)
+
+
+def test_suffix_dedup_of_repeated_rows(repeated):
+    docs, rows = repeated
+    seen = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            seen.setdefault(t[p : p + 50], set()).add(-1 if i is None else i)
+    expected = []
+    for i, t in rows:
+        gone = [False] * len(t)
+        for p in range(len(t) - 49):
+            if min(seen[t[p : p + 50]]) < (-1 if i is None else i):
+                gone[p : p + 50] = [True] * 50
+        expected.append((i, "".join(c for c, g in zip(t, gone, strict=True) if not g)))
+    assert (31, "left  right") in expected
+    assert pairs(suffix_dedup.without_repeats(docs)) == Counter(expected)
+
+
+def test_toxicity_and_packing_of_repeated_rows(repeated):
+    docs, rows = repeated
+    assert pairs(toxicity.without_toxic(docs, toxicity.train([], [], 0.1))) == Counter(rows)
+    packed = packing.pack_documents(docs, RANKS, PATTERN, end_id=0).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(i for i, _ in rows)
