@@ -158,14 +158,27 @@ def marked_chunks(texts: pa.Array) -> Chunks:
     return _split(texts, "  |^ |▁|^$", lambda x: pc.split_pattern(x, " "), _split_marked)
 
 
+@functools.cache
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a file of the tokenizers library: ``(string, id)``, taken literally wherever they stand in a text."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] or re.search(r"\s", x["content"]) for x in added):
+        raise ValueError("an added token that isn't taken literally")
+    return tuple((x["content"], x["id"]) for x in added)
+
+
 @functools.cache
 def word_table(path: str, limit: int = 500_000) -> ChunkTable:
-    """A table for word_chunks() over a file of the tokenizers library, one for each process."""
+    """A table for word_chunks() over a file of the tokenizers library, one for each process.
+
+    As the library does by default, it gives the strings of added tokens in a text those tokens' ids.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, models
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    held = re.compile("|".join(re.escape(x) for x, _ in added_tokens(path)) or "(?!)")
     # The same model for text that the normaliser only sets in lower case, and
     # without the library's own cache, which new chunks would only wear out.
     spec = json.loads(whole.to_str())["model"]
@@ -193,10 +206,13 @@ def word_table(path: str, limit: int = 500_000) -> ChunkTable:
         return ids[inside], np.diff(ends, prepend=-len(fence)) - len(fence)
 
     def encode_many(new: list[str]) -> Encoded:
-        simple = [bool(SIMPLE.fullmatch(x)) for x in new]
-        order = sorted(range(len(new)), key=simple.__getitem__)
-        cut = len(new) - sum(simple)
-        parts = [joined([new[i] for i in order[k : min(k + 2000, end)]], end > cut) for a, end in ((0, cut), (cut, len(new))) for k in range(a, end, 2000)]
+        # Chunks that hold an added token go to the library one by one.
+        kinds = [0 if held.search(x) else 1 + bool(SIMPLE.fullmatch(x)) for x in new]
+        order = sorted(range(len(new)), key=kinds.__getitem__)
+        rare = kinds.count(0)
+        cut = rare + kinds.count(1)
+        parts = [one_by_one([new[i] for i in order[:rare]])] if rare else []
+        parts += [joined([new[i] for i in order[k : min(k + 2000, end)]], end > cut) for a, end in ((rare, cut), (cut, len(new))) for k in range(a, end, 2000)]
         ids, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
         back = np.argsort(order)
         return ids[spans_to_index((np.cumsum(lengths) - lengths)[back], lengths[back])], lengths[back]
@@ -205,16 +221,19 @@ def word_table(path: str, limit: int = 500_000) -> ChunkTable:
 
 
 @functools.cache
-def byte_table(path: str, pattern: str, limit: int = 500_000) -> ChunkTable:
-    """A table for space_chunks() over a file of byte-level ranks, one for each process."""
+def byte_table(path: str, pattern: str, limit: int = 500_000, added: tuple[tuple[str, int], ...] = ()) -> ChunkTable:
+    """A table for space_chunks() over a file of byte-level ranks, one for each process.
+
+    Strings of ``added`` tokens in a text get those tokens' ids; without, they are text like any other.
+    """
     import base64
 
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return ChunkTable(lambda new: in_a_row([encoding.encode_ordinary(_unkeyed(x)) for x in new]), limit)
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
+    return ChunkTable(lambda new: in_a_row([encoding.encode(_unkeyed(x), allowed_special="all") if added else encoding.encode_ordinary(_unkeyed(x)) for x in new]), limit)
 
 
 def encoded(column: pa.Array, table: ChunkTable, split: Callable[[pa.Array], Chunks]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -91,11 +91,11 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[int], in
     return out
 
 
-def cut_pieces(documents: DataFrame, ranks_path: str, pattern: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def cut_pieces(documents: DataFrame, ranks_path: str, pattern: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Every document's ids and ``end_id``, cut where longer than ``capacity``; only the first piece may be shorter."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_table(ranks_path, pattern)
+        table = byte_table(ranks_path, pattern, added=added)
         for batch in batches:
             for a, ids, bounds in encoded(batch.column(1), table, space_chunks):
                 rows: list[tuple] = []
@@ -115,20 +115,21 @@ def cut_pieces(documents: DataFrame, ranks_path: str, pattern: str, end_id: int,
 
 
 def pack_documents(
-    documents: DataFrame, ranks_path: str, pattern: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, n_salts: int = 64
+    documents: DataFrame, ranks_path: str, pattern: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, n_salts: int = 64, added: tuple[tuple[str, int], ...] = ()
 ) -> DataFrame:
     """Pack every document's tokens into as few sequences of ``capacity`` as best-fit finds.
 
     Returns one row per piece: ``doc_id, piece, start, length, ids_crc32,
     sequence_id, offset`` (and ``ids``, little-endian unsigned 32-bit, with
     ``with_ids``). Null texts count as empty: a piece that is the end id alone.
+    Strings of ``added`` tokens in a text get those tokens' ids.
     Null ids and repeated rows are packed as documents of their own; an empty
     table gives no rows; other columns are not read. Ties between pieces of a
     length are dealt by id, piece and salt. What goes to the driver is the
     histogram of lengths (at most ``capacity`` counts).
     """
     spark = documents.sparkSession
-    pieces = staged(cut_pieces(documents, ranks_path, pattern, end_id, capacity, id_col, text_col, with_ids), shared_dir(spark, "pieces"))
+    pieces = staged(cut_pieces(documents, ranks_path, pattern, end_id, capacity, id_col, text_col, with_ids, added), shared_dir(spark, "pieces"))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n_salts)).cast("int"))
     tally = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     counts = {r.length: r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import chat, exact_dedup, hamming, near_dup, packing, pieces, suffix_dedup, token_files, toxicity, warc
+from cadenza.llm.chunks import added_tokens
 from cadenza.llm.common import shared_dir
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -47,7 +48,7 @@ def op5_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of 2048 tokens."""
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=0, capacity=2048)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=0, capacity=2048, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

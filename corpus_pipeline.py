@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import exact_dedup, near_dup, packing, suffix_dedup, toxicity
+from cadenza.llm.chunks import added_tokens
 from cadenza.llm.common import shared_dir, staged
 
 #: SQL can't express the learnt scores, the signatures' classes or the packing.
@@ -39,7 +40,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents' pieces in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=0, capacity=2048)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=0, capacity=2048, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [("toxicity", reject_toxic), ("exact dedup", drop_exact_copies), ("near dedup", drop_near_copies), ("suffix dedup", cut_repeats), ("packing", pack)]

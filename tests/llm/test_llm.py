@@ -327,3 +327,16 @@ def test_toxicity_and_packing_of_repeated_rows(repeated):
     assert pairs(toxicity.without_toxic(docs, toxicity.train([], [], 0.1))) == Counter(rows)
     packed = packing.pack_documents(docs, RANKS, PATTERN, end_id=0).collect()
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(i for i, _ in rows)
+
+
+def test_added_tokens_as_the_library_does_by_default():
+    from tokenizers import Tokenizer
+
+    from cadenza.llm import chunks
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|startoftext|>", "é  <|endoftext|>\x1cz", "A <|ENDOFTEXT|> <|endoftext|><|endoftext|>  c", " <|endoftext|> ", "<|endoftext |> plain", "it's\n<|endoftext|>\n\nend "] + [t or "" for t in TEXTS]
+    byte_added = chunks.added_tokens(P.path("byte_bpe_50k.json"))
+    for name, table, split in (("word_bpe_49k.json", chunks.word_table(P.path("word_bpe_49k.json")), chunks.word_chunks), ("byte_bpe_50k.json", chunks.byte_table(RANKS, PATTERN, added=byte_added), chunks.space_chunks)):
+        t = Tokenizer.from_file(P.path(name))
+        got = [ids[i:j].tolist() for _, ids, bounds in chunks.encoded(pa.array(texts), table, split) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
