@@ -69,12 +69,13 @@ def _dtype(bytes_an_id: int) -> np.dtype:
     return np.dtype(f"<u{bytes_an_id}")
 
 
-def train_dictionary(rows: DataFrame, tokenizer_path: str, end_id: int, bytes_an_id: int, n_samples: int, size: int) -> bytes:
+def train_dictionary(rows: DataFrame, tokenizer_path: str, end_id: int, bytes_an_id: int, n_samples: int, size: int, sample_bytes: int = 8192) -> bytes:
     """A dictionary from the ids of ``n_samples`` documents at most, those with the smallest id hashes.
 
-    The bound is needed as training runs on the driver. The dictionary changes
-    the size of the files only, never what is read back. Empty if the samples
-    are too few to train from.
+    Of each, the first ``sample_bytes`` bytes of ids are taken (4,096 ids of
+    two bytes by default). Both bounds are needed as training runs on the
+    driver. The dictionary changes the size of the files only, never what is
+    read back. Empty if the samples are too few to train from.
     """
     chosen = [r[0] for r in rows.select("id").orderBy(F.xxhash64("id"), "id").limit(n_samples).collect()]
     if not chosen:
@@ -84,7 +85,7 @@ def train_dictionary(rows: DataFrame, tokenizer_path: str, end_id: int, bytes_an
         table, dtype = word_table(tokenizer_path), _dtype(bytes_an_id)
         for batch in batches:
             for _, ids, bounds in encoded(batch.column(0), table, word_chunks):
-                found = [np.append(ids[a:b], end_id).astype(dtype).tobytes()[:8192] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                found = [np.append(ids[a:b], end_id).astype(dtype).tobytes()[:sample_bytes] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
 
     samples = sorted(bytes(r[0]) for r in rows.where(F.col("id").isin(chosen)).select("text").mapInArrow(ids_of, "ids binary").limit(2 * n_samples).collect())
@@ -95,7 +96,7 @@ def train_dictionary(rows: DataFrame, tokenizer_path: str, end_id: int, bytes_an
 
 
 def write_token_files(
-    documents: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", level: int = 3, bytes_an_id: int = 2, shard_bytes: float = 64e6, n_samples: int = 500, dictionary_bytes: int = 65536
+    documents: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", level: int = 3, bytes_an_id: int = 2, shard_bytes: float = 64e6, n_samples: int = 500, dictionary_bytes: int = 65536, sample_bytes: int = 8192
 ) -> dict:
     """Write every document's ids, with ``end_id`` after them, to shards of ``out_dir``; returns the manifest.
 
@@ -103,14 +104,15 @@ def write_token_files(
     read back as null, documents of one id stay side by side, an empty table
     gives a manifest without shards; other columns are not read. Texts are
     encoded before the only shuffle, so that compressed frames travel. Shards
-    are ranges of the id; a shard's index (32 bytes a document) is all that a
+    are ranges of the id; ``n_samples`` and ``sample_bytes`` bound what the
+    dictionary is trained on (see train_dictionary()); a shard's index (32 bytes a document) is all that a
     task holds.
     """
     spark = documents.sparkSession
     rows = documents.select(F.coalesce(documents[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), documents[text_col].alias("text"))
     n = partitions_for(spark, data_bytes(documents, text_col), shard_bytes)
     cuts = rows.select(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    dictionary = train_dictionary(rows, tokenizer_path, end_id, bytes_an_id, n_samples, dictionary_bytes)
+    dictionary = train_dictionary(rows, tokenizer_path, end_id, bytes_an_id, n_samples, dictionary_bytes, sample_bytes)
     digest = hashlib.sha256(dictionary).hexdigest()
     _store(out_dir)[0].create_dir(_store(out_dir)[1], recursive=True)
     _write(f"{out_dir}/dictionary", dictionary)

@@ -340,3 +340,11 @@ def test_added_tokens_as_the_library_does_by_default():
         t = Tokenizer.from_file(P.path(name))
         got = [ids[i:j].tolist() for _, ids, bounds in chunks.encoded(pa.array(texts), table, split) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
         assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_dictionary_samples_are_bounded_by_parameter(table, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(token_files.zstandard, "train_dictionary", lambda size, samples: seen.append(samples) or (_ for _ in ()).throw(ValueError()))
+    for n in (6, 1 << 20):
+        token_files.write_token_files(table, f"file://{tmp_path}/{n}", P.path("word_bpe_49k.json"), 2, sample_bytes=n)
+    assert max(map(len, seen[0])) == 6 and max(map(len, seen[1])) > 1000
