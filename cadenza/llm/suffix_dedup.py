@@ -1,11 +1,14 @@
-"""Repeated-substring removal by bucket-pointer refinement over anchored suffixes.
+"""Repeated-substring removal by winnowed anchors and rolling-hash fingerprints.
+
+This stands in place of bucket-pointer refinement: no suffix is ordered, and no
+table of bucket pointers is updated from round to round (see the README).
 
 Every 50-byte string has an anchor: the place of its least 25-byte hash among
 its 26. Equal strings have the same anchor, so suffixes at anchors (one in
 thirteen) stand for all. They are put in buckets by their first q = 25 bytes;
-buckets of a single document are settled and leave. The others are refined by
-the buckets of later and earlier offsets, which are identifiers made the same
-way: with those at -25, 0 and +25 a bucket holds one 75-byte context, and all
+buckets of a single document are settled and leave. The others are told apart
+by fingerprints of the bytes before and behind, computed from the text anew:
+with those at -25, 0 and +25 a bucket holds one 75-byte context, and all
 its 26 strings are settled at once by its smallest document. Where one anchor
 has several contexts, buckets are refined once more, string by string, from the
 identifiers of their two halves.
