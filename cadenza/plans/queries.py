@@ -100,7 +100,7 @@ def fold_matrix(spark, d):
 
 
 def pan_gains(spark, d):
-    """Equal-power gains of two speakers."""
+    """P17 in part: equal-power gains of one fixed pair of speakers, without the look-up of neighbours."""
     left, right = mix.pair_gains(F.col("value") / 50.0 - 1.0)
     return _events(spark, d).select("event_id", F.round(left, 6).alias("left_gain"), F.round(right, 6).alias("right_gain"))
 

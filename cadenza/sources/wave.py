@@ -1,4 +1,4 @@
-"""24-bit PCM in RIFF/WAVE files (public RIFF and WAVEFORMATEXTENSIBLE layouts)."""
+"""Bytes of 24-bit PCM in RIFF/WAVE files (public RIFF and WAVEFORMATEXTENSIBLE layouts); no writer of rows, no RF64."""
 
 from __future__ import annotations
 
