@@ -2,44 +2,131 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
 import math
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handed to numpy at once, in bytes; bounds a Python worker's memory.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only where the session names no such folder (tests, local mode) a
-    temporary one is set.
+    Only in local mode, where a session may name none (tests), a temporary one
+    is set; on a cluster that raises ValueError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_by_call = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = set_by_call.get() if set_by_call.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files are deleted as it ends: what it wrote is read from the shared folder from then on."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if had is None else spark.conf.set(name, had)
+
+
+def small_batches(spark: SparkSession, n_bytes: int = 4_000_000) -> SparkSession:
+    """Bound the Arrow batches of a session that hasn't bound them itself: both sides of a Python worker hold whole ones.
+
+    A session setting, as the operators' results are read after they return.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).removesuffix("b")) >= 1 << 26:
+        spark.conf.set(name, str(n_bytes))
+    return spark
+
+
 def staged(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to ``path`` and read it back: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system: workers outlive their tasks, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for mapInArrow, giving freed memory back when a task ends."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
+class SliceTable:
+    """A working table that tasks look up by the number of a slice, without a shuffle of what they look it up for.
+
+    It lies in the shared folder, ``together`` neighbouring slices in one of
+    ``files`` folders, in order, so that a look-up reads few row groups.
+    """
+
+    def __init__(self, path: str, files: int, together: int, schema: pa.Schema):
+        self.path, self.files, self.together, self.schema = path, files, together, schema
+        self._last: tuple | None = None
+        self._opened: tuple | None = None
+
+    def rows(self, number: int) -> pa.Table:
+        """The rows of a slice; the last look-up is kept."""
+        if self._last is None or self._last[0] != number:
+            folder = number // self.together % self.files
+            if self._opened is None or self._opened[0] != folder:
+                store, path = fs.FileSystem.from_uri(f"{self.path}/folder={folder}")
+                there = store.get_file_info(path).type == fs.FileType.Directory
+                self._opened = folder, dataset.dataset(path, filesystem=store, format="parquet") if there else None
+            held = self._opened[1]
+            self._last = number, self.schema.empty_table() if held is None else held.to_table(columns=self.schema.names, filter=dataset.field("slice") == number, use_threads=False)
+        return self._last[1]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_last": None, "_opened": None}
+
+
+def write_slices(df: DataFrame, path: str, files: int, together: int) -> SliceTable:
+    """Write ``df``, which has a bigint ``slice``, for look-up by slice."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    folder = F.pmod(F.shiftright("slice", together.bit_length() - 1), F.lit(files)).cast("int")
+    dealt = df.withColumn("folder", folder).repartition(files, "folder").sortWithinPartitions("folder", "slice")
+    with shuffles_dropped(df.sparkSession):
+        dealt.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 1 << 21).partitionBy("folder").parquet(path)
+    return SliceTable(path, files, together, to_arrow_schema(df.schema))
+
+
 def drop_path(spark: SparkSession, *paths: str) -> None:
     """Delete working folders that no returned DataFrame reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -53,18 +140,6 @@ def at_locator(documents: DataFrame, rows: DataFrame) -> Column:
     return (documents["_metadata.file_path"] == rows["file"]) & (documents["_metadata.row_index"] == rows["row"])
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the files of shuffles that nothing refers to any more.
-
-    Python's unused DataFrames go first: they still hold those of the JVM, whose
-    plans are free only after a second collection.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def data_bytes(df: DataFrame, text_col: str) -> float:
     """The size of a DataFrame's files by Catalyst's estimate; of its texts, measured, where there is none."""
     known = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import at_locator, data_bytes, drop_path, release_shuffles, shared_dir, staged, text_column
+from cadenza.llm.common import at_locator, data_bytes, drop_path, shared_dir, staged, text_column
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -79,16 +79,13 @@ def _verdicts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return digests.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"), "file", "row")
     state = staged(stream_digests(spark, f"{work}/digests", f"{work}/stream", max(12, math.ceil(data_bytes(documents, text_col) / 16e6))), f"{work}/state")
     drop_path(spark, f"{work}/stream")
-    release_shuffles(spark)
 
     # Full bytes of the hits: the text at a digest's locator against each text with that digest.
     hits = staged(digested.join(state.where("n > 1"), "digest").select("digest", "text", F.expr("file = keep.file and row = keep.row").alias("stored")), f"{work}/hits")
-    release_shuffles(spark)
     stored = hits.where("stored").select("digest", F.col("text").alias("stored_text"))
     compared = hits.join(stored, "digest")
     shared = staged(compared.where("text != stored_text").select("digest").distinct(), f"{work}/shared")
     drop_path(spark, f"{work}/hits")
-    release_shuffles(spark)
 
     columns = [F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), F.expr("file = keep.file and row = keep.row").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "file", "row"]
     if shared.isEmpty():
