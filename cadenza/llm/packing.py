@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.chunks import byte_table, encoded, space_chunks
-from cadenza.llm.common import shared_dir, staged
+from cadenza.llm.common import shared_dir, staged, tidied
 
 PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint"
 
@@ -111,7 +111,7 @@ def cut_pieces(documents: DataFrame, ranks_path: str, pattern: str, end_id: int,
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=names[: len(columns)])
 
-    return documents.select(documents[id_col].cast("bigint"), documents[text_col]).mapInArrow(pieces, PIECES + (", ids binary" if with_ids else ""))
+    return documents.select(documents[id_col].cast("bigint"), documents[text_col]).mapInArrow(tidied(pieces), PIECES + (", ids binary" if with_ids else ""))
 
 
 def pack_documents(

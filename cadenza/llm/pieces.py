@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cadenza.llm.chunks import ChunkTable, in_a_row, marked_chunks
-from cadenza.llm.common import SLICE_BYTES, byte_lengths, text_slices, utf8
+from cadenza.llm.common import byte_lengths, SLICE_BYTES, text_slices, tidied, utf8
 
 #: Column name and type of what encode_texts() can return.
 OUTPUTS = {"ids": "array<int>", "decoded": "string", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -83,7 +83,7 @@ def encode_texts(
     kind = documents.schema[id_col].dataType.simpleString()
     outputs = list(outputs)
     schema = ", ".join([f"doc_id {kind}", *(f"{x} {OUTPUTS[x]}" for x in outputs)])
-    return documents.select(documents[id_col], documents[text_col]).mapInArrow(lambda it: _codec(it, model_path, outputs, bos, eos), schema)
+    return documents.select(documents[id_col], documents[text_col]).mapInArrow(tidied(lambda it: _codec(it, model_path, outputs, bos, eos)), schema)
 
 
 def decode_ids(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

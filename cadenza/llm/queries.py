@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import chat, exact_dedup, hamming, near_dup, packing, pieces, suffix_dedup, token_files, toxicity, warc
 from cadenza.llm.chunks import added_tokens
-from cadenza.llm.common import shared_dir
+from cadenza.llm.common import shared_dir, small_batches
 
 PROBE = "</s>[INST] ok [/INST]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
