@@ -3,8 +3,8 @@
 A chunk is a stretch of text that a tokenizer treats alike wherever it stands.
 Each task keeps the chunks it has met, with their ids, in one table; a batch of
 texts becomes a list of table slots, and one gather brings the ids together.
-When the table outgrows ``limit``, chunks met in one batch only leave it, so
-memory is bounded.
+When the table outgrows ``limit`` chunks or ``limit_bytes`` of them, chunks met
+in one batch only leave it, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -49,8 +49,9 @@ def in_a_row(encoded: list[Sequence[int]]) -> Encoded:
 class ChunkTable:
     """Chunks and their ids. ``encode_many`` gives the ids of distinct chunks in a row, and how many each has."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Encoded], limit: int = 500_000):
-        self.encode_many, self.limit = encode_many, limit
+    def __init__(self, encode_many: Callable[[list[str]], Encoded], limit: int = 200_000, limit_bytes: int = 16_000_000):
+        self.encode_many, self.limit, self.limit_bytes = encode_many, limit, limit_bytes
+        self.held_bytes = 0
         self.index: dict[str, int] = {}
         self.chunks: list[str] = []
         self.uses = np.zeros(0, np.int32)
@@ -60,6 +61,7 @@ class ChunkTable:
 
     def _add(self, new: list[str]) -> None:
         ids, lengths = self.encode_many(new)
+        self.held_bytes += sum(map(len, new))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, ids])
@@ -68,9 +70,12 @@ class ChunkTable:
         self.chunks += new
 
     def _prune(self) -> None:
-        """Keep what more than one batch has used, the most used half of the limit at most."""
+        """Keep what more than one batch has used, the most used half of the limits at most."""
         keep = np.flatnonzero(self.uses > 1)
-        keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")][: self.limit // 2])
+        keep = keep[np.argsort(-self.uses[keep], kind="stable")][: self.limit // 2]
+        sizes = np.fromiter((len(self.chunks[i]) for i in keep.tolist()), np.int64, len(keep))
+        fits = np.cumsum(sizes) <= self.limit_bytes // 2
+        self.held_bytes, keep = int(sizes[fits].sum()), np.sort(keep[fits])
         self.ids = self.ids[spans_to_index(self.starts[keep], self.lengths[keep])]
         self.lengths = self.lengths[keep]
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -80,7 +85,7 @@ class ChunkTable:
 
     def slots(self, chunks: pa.Array) -> np.ndarray:
         """The table slot of every chunk; new chunks are encoded, each once."""
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.held_bytes > self.limit_bytes:
             self._prune()
         coded = chunks.dictionary_encode()
         distinct = strings(coded.dictionary)
@@ -169,22 +174,20 @@ def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
 
 
 @functools.cache
-def word_table(path: str, limit: int = 500_000) -> ChunkTable:
+def word_table(path: str, limit: int = 200_000) -> ChunkTable:
     """A table for word_chunks() over a file of the tokenizers library, one for each process.
 
     As the library does by default, it gives the strings of added tokens in a text those tokens' ids.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, models
+    from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
     held = re.compile("|".join(re.escape(x) for x, _ in added_tokens(path)) or "(?!)")
-    # The same model for text that the normaliser only sets in lower case, and
-    # without the library's own cache, which new chunks would only wear out.
-    spec = json.loads(whole.to_str())["model"]
-    bare = Tokenizer(
-        models.BPE(vocab=spec["vocab"], merges=[tuple(x) for x in spec["merges"]], end_of_word_suffix=spec["end_of_word_suffix"], cache_capacity=0)
-    )
+    # The same model, held once, for text that the normaliser only sets in lower
+    # case; without the library's own cache, which new chunks would only wear out.
+    whole.model._resize_cache(0)
+    bare = Tokenizer(whole.model)
     bare.pre_tokenizer = whole.pre_tokenizer
     fence = np.array(whole.encode(FENCE, add_special_tokens=False).ids, np.uint32)
 
@@ -221,7 +224,7 @@ def word_table(path: str, limit: int = 500_000) -> ChunkTable:
 
 
 @functools.cache
-def byte_table(path: str, pattern: str, limit: int = 500_000, added: tuple[tuple[str, int], ...] = ()) -> ChunkTable:
+def byte_table(path: str, pattern: str, limit: int = 200_000, added: tuple[tuple[str, int], ...] = ()) -> ChunkTable:
     """A table for space_chunks() over a file of byte-level ranks, one for each process.
 
     Strings of ``added`` tokens in a text get those tokens' ids; without, they are text like any other.
@@ -236,6 +239,12 @@ def byte_table(path: str, pattern: str, limit: int = 500_000, added: tuple[tuple
     return ChunkTable(lambda new: in_a_row([encoding.encode(_unkeyed(x), allowed_special="all") if added else encoding.encode_ordinary(_unkeyed(x)) for x in new]), limit)
 
 
+def drop_tables() -> None:
+    """Forget this process's tables and tokenizers, in stages that encode nothing."""
+    word_table.cache_clear()
+    byte_table.cache_clear()
+
+
 def encoded(column: pa.Array, table: ChunkTable, split: Callable[[pa.Array], Chunks]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield ``(first row, ids, bounds)`` for slices of a text column, nulls as empty."""
     texts = utf8(column)

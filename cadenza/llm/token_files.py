@@ -32,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.chunks import encoded, word_chunks, word_table
-from cadenza.llm.common import data_bytes, partitions_for
+from cadenza.llm.chunks import drop_tables, encoded, word_chunks, word_table
+from cadenza.llm.common import data_bytes, give_back, partitions_for, tidied
 
 MAGIC = b"CTOKENS1"
 TAIL = "<QQQQ8s"
@@ -69,6 +69,13 @@ def _dtype(bytes_an_id: int) -> np.dtype:
     return np.dtype(f"<u{bytes_an_id}")
 
 
+def _packed(ids: np.ndarray, bytes_an_id: int) -> bytes:
+    """Ids as little-endian integers; raises ValueError where one needs more bytes."""
+    if len(ids) and int(ids.max()) >> (8 * bytes_an_id):
+        raise ValueError(f"an id needs more than {bytes_an_id} bytes")
+    return ids.astype(_dtype(bytes_an_id)).tobytes()
+
+
 def train_dictionary(rows: DataFrame, tokenizer_path: str, end_id: int, bytes_an_id: int, n_samples: int, size: int, sample_bytes: int = 8192) -> bytes:
     """A dictionary from the ids of ``n_samples`` documents at most, those with the smallest id hashes.
 
@@ -82,13 +89,13 @@ def train_dictionary(rows: DataFrame, tokenizer_path: str, end_id: int, bytes_an
         return b""
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, dtype = word_table(tokenizer_path), _dtype(bytes_an_id)
+        table = word_table(tokenizer_path)
         for batch in batches:
             for _, ids, bounds in encoded(batch.column(0), table, word_chunks):
-                found = [np.append(ids[a:b], end_id).astype(dtype).tobytes()[:sample_bytes] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                found = [_packed(np.append(ids[a:b], end_id), bytes_an_id)[:sample_bytes] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
 
-    samples = sorted(bytes(r[0]) for r in rows.where(F.col("id").isin(chosen)).select("text").mapInArrow(ids_of, "ids binary").limit(2 * n_samples).collect())
+    samples = sorted(bytes(r[0]) for r in rows.where(F.col("id").isin(chosen)).select("text").mapInArrow(tidied(ids_of), "ids binary").limit(2 * n_samples).collect())
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -102,7 +109,8 @@ def write_token_files(
 
     Null texts count as empty (the end id alone), a null id comes first and is
     read back as null, documents of one id stay side by side, an empty table
-    gives a manifest without shards; other columns are not read. Texts are
+    gives a manifest without shards; other columns are not read; an id that
+    doesn't fit in ``bytes_an_id`` raises. Texts are
     encoded before the only shuffle, so that compressed frames travel. Shards
     are ranges of the id; ``n_samples`` and ``sample_bytes`` bound what the
     dictionary is trained on (see train_dictionary()); a shard's index (32 bytes a document) is all that a
@@ -119,18 +127,21 @@ def write_token_files(
     edges = np.array(sorted(set(cuts)), np.int64)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (compressor, _), dtype = word_table(tokenizer_path), _codecs(dictionary, level), _dtype(bytes_an_id)
+        table, (compressor, _) = word_table(tokenizer_path), _codecs(dictionary, level)
         for batch in batches:
             names = batch.column(0).to_numpy()
             shards = np.searchsorted(edges, names, "left").astype(np.int32)
             for a, ids, bounds in encoded(batch.column(1), table, word_chunks):
                 k = len(bounds) - 1
-                packed = [compressor.compress(np.append(ids[i:j], end_id).astype(dtype).tobytes()) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+                packed = [compressor.compress(_packed(np.append(ids[i:j], end_id), bytes_an_id)) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shards[a : a + k]), pa.array(names[a : a + k]), pa.array(np.diff(bounds) + 1), pa.array(packed, pa.binary())], names=["shard", "id", "n_tokens", "frame"]
                 )
 
     def shard_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Workers come from the stage before, with its tables.
+        drop_tables()
+        give_back()
         out, index, at, shard, store, temporary = None, [], 0, -1, None, ""
         for batch in batches:
             if out is None and batch.num_rows:
@@ -154,10 +165,10 @@ def write_token_files(
             yield pa.RecordBatch.from_pydict({"file": [final], "first": [index[0][0]], "docs": [len(index)], "tokens": [int(table[:, 3].sum())], "bytes": [at + len(packed) + TAIL_BYTES]})
 
     written = (
-        rows.mapInArrow(frames, "shard int, id bigint, n_tokens bigint, frame binary")
+        rows.mapInArrow(tidied(frames), "shard int, id bigint, n_tokens bigint, frame binary")
         .repartitionById(len(edges) + 1, F.col("shard"))
         .sortWithinPartitions("id", "n_tokens", "frame")
-        .mapInArrow(shard_files, "file string, first bigint, docs bigint, tokens bigint, bytes bigint")
+        .mapInArrow(tidied(shard_files), "file string, first bigint, docs bigint, tokens bigint, bytes bigint")
         .collect()
     )
     shards, start = [], 0
@@ -199,6 +210,8 @@ def read_token_files(spark: SparkSession, out_dir: str, checksums: bool = False)
         return spark.createDataFrame([], schema)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
+        give_back()
         _, decompressor = _codecs(_dictionary(out_dir, digest), 3)
         for batch in batches:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -222,7 +235,7 @@ def read_token_files(spark: SparkSession, out_dir: str, checksums: bool = False)
                         )
 
     shards = [(x["file"], x["start"]) for x in manifest["shards"]]
-    return spark.createDataFrame(shards, "file string, start bigint").repartition(len(shards)).mapInArrow(documents, schema)
+    return spark.createDataFrame(shards, "file string, start bigint").repartition(len(shards)).mapInArrow(tidied(documents), schema)
 
 
 def get_document(out_dir: str, doc_id: int) -> np.ndarray | None:
