@@ -39,28 +39,58 @@ def round_half_away(x: Column) -> Column:
 
 
 def quantize24(x: Column) -> tuple[Column, Column]:
-    """``(sample, clipped)``: full scale 1.0 as a 24-bit integer, and whether it had to be clamped."""
-    scaled = round_half_away(x * F.lit(float(2**23)))
-    top, bottom = F.lit(float(2**23 - 1)), F.lit(float(-(2**23)))
-    return F.greatest(bottom, F.least(top, scaled)).cast("bigint"), (scaled > top) | (scaled < bottom)
+    """``(sample, clipped)``: full scale 1.0 as a 24-bit integer, and whether the value lay outside the range before it was rounded."""
+    scaled, top, bottom = x * F.lit(float(2**23)), F.lit(float(2**23 - 1)), F.lit(float(-(2**23)))
+    return round_half_away(F.greatest(bottom, F.least(top, scaled))).cast("bigint"), (scaled > top) | (scaled < bottom)
+
+
+def checked_add(a: Column, b: Column) -> Column:
+    """The sum, or null where it overflows 64 bits."""
+    return F.try_add(_long(a), _long(b))
+
+
+def checked_multiply(a: Column, b: Column) -> Column:
+    """The product, or null where it overflows 64 bits."""
+    return F.try_multiply(_long(a), _long(b))
+
+
+def coefficient(x: Column, shift: int) -> Column:
+    """A coefficient scaled by 2**shift; null where that leaves 32 bits."""
+    scaled = checked_multiply(x, F.lit(1 << shift))
+    return F.when(scaled.between(F.lit(-(2**31)), F.lit(2**31 - 1)), scaled)
 
 
 def db_gain(db: Column) -> Column:
     return F.pow(F.lit(10.0), db / F.lit(20.0))
 
 
+def checked_db_gain(db: Column, low: float = -120.0, high: float = 24.0) -> Column:
+    """The gain of a level a user asked for; a level outside the range, or no number, raises."""
+    bad = F.raise_error(F.concat(F.lit("a level outside the range: "), db.cast("string")))
+    return F.when(db.isNull(), None).when(db.between(low, high) & ~F.isnan(db), db_gain(db)).otherwise(bad.cast("double"))
+
+
 def dialogue_gain(code: Column) -> Column:
     """The linear gain that brings a dialogue level of ``-code`` dB to -31 dB."""
     return db_gain(code.cast("double") - F.lit(31.0))
 
 
-def coordinate(code: Column, steps: int) -> Column:
-    """A code of 0..steps as a coordinate of -1..1; codes above are clamped."""
-    return F.least(F.lit(1.0), code.cast("double") / F.lit(float(steps))) * F.lit(2.0) - F.lit(1.0)
+def coordinate_x(code: Column) -> Column:
+    """A 6-bit code as left (-1) to right (1); 62 and 63 are both 1."""
+    return F.least(code, F.lit(62)).cast("double") / F.lit(31.0) - F.lit(1.0)
+
+
+def coordinate_y(code: Column) -> Column:
+    """A 6-bit code as front (1) to back (-1); 62 and 63 are both -1."""
+    return -coordinate_x(code)
+
+
+def coordinate_z(up: Column, code: Column) -> Column:
+    """A 4-bit height with its direction: 1 for up, 0 for down."""
+    return F.when(up == 1, F.lit(1.0)).when(up == 0, F.lit(-1.0)) * code.cast("double") / F.lit(15.0)
 
 
 def timecode(samples: Column, rate: int = 48_000) -> Column:
-    """Whole seconds as HH:MM:SS."""
+    """Whole seconds as HH:MM:SS; hours take as many digits as they need."""
     s = F.floor(samples / F.lit(rate)).cast("bigint")
-    part = lambda x: F.lpad(x.cast("string"), 2, "0")
-    return F.concat_ws(":", part(F.floor(s / 3600)), part(F.floor(s / 60) % 60), part(s % 60))
+    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)

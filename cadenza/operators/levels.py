@@ -44,7 +44,7 @@ def next_check(df: DataFrame, key: str, order: str, expected: str, actual: str)
 
 
 def agreement(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """``key, agree``: whether all rows of a key have the same values."""
+    """``key, agree``: whether all rows of a key have the same values; null is a value of its own."""
     same = [F.min(c).eqNullSafe(F.max(c)) & (F.count_if(F.col(c).isNull()).isin(0) | (F.count(c) == 0)) for c in columns]
     out = same[0]
     for s in same[1:]:
@@ -53,9 +53,9 @@ def agreement(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def order_gate(df: DataFrame, key: str, order: Sequence[str], end: str) -> DataFrame:
-    """The input with ``rising``: whether ``end`` is above that of the row before; true for the first."""
-    last = F.lag(end).over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("rising", F.coalesce(last < F.col(end), F.lit(True)))
+    """The input with ``rising``: whether ``end`` is above that of the row before; true for the first, null where either end is."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn("rising", F.when(F.row_number().over(w) == 1, F.lit(True)).otherwise(F.lag(end).over(w) < F.col(end)))
 
 
 def after_end(df: DataFrame, key: str, position: str, is_end: Column) -> DataFrame:
@@ -74,3 +74,40 @@ def residual(df: DataFrame, key: str, order: Sequence[str], value: str, taps: Se
     for k, tap in enumerate(taps, 1):
         predicted = predicted + F.coalesce(F.lag(value, k).over(w), F.lit(0)).cast("bigint") * F.lit(tap)
     return df.withColumn("residual", F.col(value) - F.shiftright(predicted, shift))
+
+
+def energies(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """``key, energy``: the sum of squares of a group's values."""
+    return df.groupBy(*key).agg(F.sum(F.col(value) * F.col(value)).alias("energy"))
+
+
+def reconstruct(df: DataFrame, key: str, order: Sequence[str], value: str, fir: Sequence[int], iir: Sequence[int], shift: int, clear_bits: int = 0) -> DataFrame:
+    """``key, order, restored``: samples from residuals, by a recursive filter over what it has restored.
+
+    A sample is its residual plus the floor-shifted sum of ``fir`` over the
+    samples before and ``iir`` over the differences before (sample less
+    prediction), low bits of the prediction cleared, wrapped to 32 bits. Rows
+    stream by in order with one state a key; before the first all is 0.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    names = [key, *order, value]
+    types = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names[:-1])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, samples, rest = None, [], []
+        for batch in batches:
+            out = []
+            for k, r in zip(batch[key], batch[value], strict=True):
+                if k != last:
+                    last, samples, rest = k, [0] * len(fir), [0] * len(iir)
+                predicted = (sum(a * b for a, b in zip(fir, samples, strict=True)) + sum(a * b for a, b in zip(iir, rest, strict=True))) >> shift
+                x = int(r) + (predicted & ~((1 << clear_bits) - 1))
+                x = ((x + 2**31) & (2**32 - 1)) - 2**31
+                samples, rest = ([x, *samples[:-1]] if fir else []), ([x - predicted, *rest[:-1]] if iir else [])
+                out.append(x)
+            yield batch.drop(columns=[value]).assign(restored=out)
+
+    return df.select(*names).repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, f"{types}, restored bigint")

@@ -1,4 +1,4 @@
-"""Bytes of 24-bit PCM in RIFF/WAVE files (public RIFF and WAVEFORMATEXTENSIBLE layouts); no writer of rows, no RF64."""
+"""Bytes of 24-bit PCM in RIFF/WAVE files (public RIFF and WAVEFORMATEXTENSIBLE layouts); see pcm.py for files of rows and RF64."""
 
 from __future__ import annotations
 
