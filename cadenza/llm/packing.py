@@ -22,9 +22,59 @@ from cadenza.llm.common import shared_dir, staged, tidied
 PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint"
 
 
+def _total(plan: list[tuple[list[int], int]]) -> int:
+    return sum(bins for _, bins in plan)
+
+
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """Bins as ``(lengths in their order, number of such bins)`` for ``counts[length]`` pieces.
 
+    Large-item matching with best fit, see matched_bins(). Where that takes
+    more bins than the tokens need, filled_bins() is tried too, and the plan
+    with fewer bins is taken.
+    """
+    plan = matched_bins(counts, capacity)
+    if _total(plan) <= -(-sum(n * c for n, c in counts.items()) // capacity):
+        return plan
+    return min(plan, filled_bins(counts, capacity), key=_total)
+
+
+def filled_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """The longest piece left, and of the other pieces those that fill its bin best, in as many bins as there are pieces for.
+
+    What sums can be made is one integer's bits, for each length in turn, the
+    longest first, up to the first that fills the bin. Each pattern uses some
+    length up below what it needs, so patterns are a few a length.
+    """
+    left, out = {n: c for n, c in counts.items() if c > 0}, []
+    while left:
+        longest = max(left)
+        target, sums = capacity - longest, 1
+        steps: list[tuple[int, int, int]] = []
+        for n in sorted((n for n in left if n <= target), reverse=True):
+            many, each = min(left[n] - (n == longest), target // max(n, 1)), 1
+            while many > 0 and not sums >> target & 1:
+                take = min(each, many)
+                steps.append((n, take, sums))
+                sums |= (sums << n * take) & ((2 << target) - 1)
+                many, each = many - take, 2 * each
+        at, used = sums.bit_length() - 1, {longest: 1}
+        for n, take, before in reversed(steps):
+            if not before >> at & 1:
+                at -= n * take
+                used[n] = used.get(n, 0) + take
+        bins = min(left[n] // c for n, c in used.items())
+        out.append(([n for n in sorted(used, reverse=True) for _ in range(used[n])], bins))
+        for n, c in used.items():
+            left[n] -= bins * c
+            if not left[n]:
+                del left[n]
+    return out
+
+
+def matched_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Bins as ``(lengths in their order, number of such bins)`` for ``counts[length]`` pieces.
+
     Large-item matching: pieces above a third of the capacity, of which at most
     two fit in a bin, are matched from the longest on, each with the longest
     other that still fits. Smaller pieces, longest first, then go to the bin
