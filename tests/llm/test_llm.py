@@ -40,9 +40,7 @@ def u32(ids):
 def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path(name))
 
 
 def test_escape_is_reversible():
@@ -238,7 +236,9 @@ def test_suffix_dedup(spark, empty, tmp_path, monkeypatch, few):
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         assert (got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (gone.sum(), runs, hashlib.sha256(kept).hexdigest())
-        assert kept.decode(errors="ignore") in (cut[i] or "") or len((cut[i] or "").encode()) >= len(kept)
+        # A character goes if all its bytes do.
+        ends = [len((t or "")[:k].encode()) for k in range(len(t or "") + 1)]
+        assert (cut[i] or "") == "".join(c for c, p, q in zip(t or "", ends, ends[1:], strict=False) if not gone[p:q].all())
     assert suffix_dedup.suffix_dedup(empty).collect() == []
 
 
@@ -253,11 +253,210 @@ def test_sql(spark, name):
     assert sorted(tuple(r[c] for c in names) for r in queries.queries()[name](spark, sf).collect()) == sorted(expected.fetchall())
 
 
-def test_pipeline(spark):
+def without_seen(rows):
+    """Plain version of the removal of strings of 50 bytes that a smaller id has; characters go whole."""
+    seen, out = {}, []
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            seen[b[p : p + 50]] = min(seen.get(b[p : p + 50], 2**63), -1 if i is None else i)
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if seen[b[p : p + 50]] < (-1 if i is None else i):
+                gone[p : p + 50] = True
+        ends = [len((t or "")[:k].encode()) for k in range(len(t or "") + 1)]
+        out.append((i, None if t is None else "".join(c for c, p, q in zip(t, ends, ends[1:], strict=False) if not gone[p:q].all())))
+    return out
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Every stage on nulls, empties, repeated rows, copies, near copies, passages and toxic texts."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    words, passage = [f"w{i}" for i in range(600)], "a passage of more than fifty bytes that several documents é share"
+    rows = [(i, " ".join(rng.choice(words, 40)) + (f" vile{i % 3} filth" if i % 5 == 0 else "")) for i in range(120)]
+    rows += [(200 + i, rows[i + 1][1]) for i in range(5)] + [(300 + i, rows[i + 11][1] + " more") for i in range(5)]
+    rows += [(400 + i, " ".join(rng.choice(words, 20)) + " " + passage + f" {i}") for i in range(4)]
+    rows += [(500, None), (501, ""), (None, "without id"), (None, "without id"), (None, None), (7, rows[7][1]), (7, "another text of the same id"), (502, "w " * 3000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(120)] + [(None, 1), (3, None)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = toxicity.learn(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    score = lambda t: float(model.scores(*next(iter(toxicity.features(pa.array([t], pa.string())))))[0])
+    kept = [r for r in rows if score(r[1]) < 0.3]
+    assert {r[0] for r in rows if r not in kept} >= {i for i in range(0, 120, 5) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert sum(r not in kept for r in rows) < 40
+    best = {}
+    for i, t in kept:
+        best[t or ""] = max(best.get(t or "", (-2, None)), (-1 if i is None else i, t or ""))
+    kept = [(None if i < 0 else i, t) for i, t in best.values()]
+    sets = [Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter() for w in (t.split() for _, t in kept)]
+    label = list(range(len(kept)))
+    for a in range(len(kept)):
+        for b in range(a):
+            linked = kept[a][0] is not None and kept[b][0] is not None and sets[a].keys() & sets[b].keys() and j_p(sets[a], sets[b]) >= 0.8
+            if linked and label[a] != label[b]:
+                lo, hi = sorted((label[a], label[b]))
+                label = [lo if x == hi else x for x in label]
+    kept = [kept[k] for k in range(len(kept)) if kept[k][0] is None or kept[k][0] == min(kept[j][0] for j in range(len(kept)) if label[j] == label[k] and kept[j][0] is not None)]
+    kept = without_seen(kept)
+    assert any("of more than" in t for _, t in kept) and sum(passage in t for _, t in kept) == 1
+
+    t, got = tokenizer("byte_bpe_50k.json"), corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [(i, t.encode(x, add_special_tokens=False).ids + [0]) for i, x in kept]
+    want = Counter((i, k, s, zlib.crc32(u32(own[s:e]))) for i, own in ids for cuts in [[0, *range(len(own) % 2048 or 2048, len(own), 2048), len(own)]] for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    assert Counter((r.doc_id, r.piece, r.start, r.ids_crc32) for r in got) == want
+    ends = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 2048 and len(ends) <= -(-sum(len(x) for _, x in ids) // 2048) + 1
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert rows and max(sum(r.length for r in rows if r.sequence_id == s) for s in {r.sequence_id for r in rows}) <= 2048
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_corrected_risk_and_its_slopes():
+    rng = np.random.default_rng(0)
+    branches = set()
+    for shift in (-6.0, 0.0, 3.0):
+        margins, n, prior = np.concatenate([rng.normal(2, 1, 20), rng.normal(shift, 1, 50)]), 20, 0.4
+
+        def risks(m):
+            negative = np.log1p(np.exp(m))
+            return prior * np.log1p(np.exp(-m[:n])).mean(), negative[n:].mean() - prior * negative[:n].mean()
+
+        risk, slope = toxicity.risk_slopes(margins, n, prior)
+        assert risk == pytest.approx(risks(margins)[1])
+        goal = (lambda m: -risks(m)[1]) if risk < 0 else (lambda m: sum(risks(m)))  # noqa: B023
+        numeric = [(goal(margins + 1e-5 * (np.arange(70) == k)) - goal(margins - 1e-5 * (np.arange(70) == k))) / 2e-5 for k in range(70)]
+        assert slope == pytest.approx(numeric, abs=1e-7)
+        branches.add(risk < 0)
+    assert branches == {True, False}
+
+
+def test_toxicity_learns_from_nothing(spark, table, empty):
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert toxicity.learn(empty, labels).weights.any() == toxicity.learn(table, labels).weights.any() == False  # noqa: E712
+    odd = spark.createDataFrame([(None, 1), (1, None), (4, 1), (4, 1), (99, 0)], "doc_id bigint, toxic int")
+    assert 0 <= toxicity.learn(table.unionAll(table), odd).scores(np.zeros(0, np.int32), np.zeros(1, np.int64))[0] <= 1
+
+
+@pytest.mark.parametrize("counts, best", [({500: 400, 524: 400}, 200), ({700: 30, 674: 60}, 30), ({1: 5000, 2047: 10}, 13), ({2048: 3}, 3), ({}, 0)])
+def test_bins_that_fill_up(counts, best):
+    plan = packing.plan_bins(counts, 2048)
+    placed = Counter()
+    for lengths, n in plan:
+        assert sum(lengths) <= 2048
+        placed.update({x: lengths.count(x) * n for x in set(lengths)})
+    assert placed == Counter(counts) and sum(n for _, n in plan) == best
+
+
+def test_perfect_fillings_are_nearly_found():
+    rng, over = np.random.default_rng(6), []
+    for _ in range(10):
+        bins = [np.diff([0, *sorted(rng.choice(np.arange(1, 2048), rng.integers(2, 9), replace=False)), 2048]) for _ in range(60)]
+        counts = Counter(int(x) for b in bins for x in b)
+        over.append(sum(n for _, n in packing.plan_bins(counts, 2048)) - 60)
+    assert max(over) <= 2
+
+
+def test_state_goes_on_from_call_to_call(spark, tmp_path):
+    """The second call digests the new file alone; verdicts are those of one call over all."""
+    path, state = f"{tmp_path}/d.parquet", f"file://{tmp_path}/state"
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "doc_id bigint, text string").coalesce(1).write.parquet(path)
+    verdicts = lambda df: sorted(tuple(r) for r in df.collect())
+    first = exact_dedup.exact_dedup(spark.read.parquet(path), state_dir=state)
+    assert verdicts(first) == verdicts(exact_dedup.exact_dedup(spark.read.parquet(path)))
+    before = spark.read.parquet(f"{state}/digests").count()
+    spark.createDataFrame([(5, "a"), (0, "c"), (6, "")], "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(path)
+    second = verdicts(exact_dedup.exact_dedup(spark.read.parquet(path), state_dir=state))
+    assert second == verdicts(exact_dedup.exact_dedup(spark.read.parquet(path))) and [r[1:4] for r in second if r[0] == 1] == [(5, 3, False)]
+    assert spark.read.parquet(f"{state}/digests").count() == before + 3
+
+
+def test_texts_that_share_a_digest(spark, tmp_path, monkeypatch):
+    """With a digest of the first letter alone, the full texts decide; groups larger than a salt's too."""
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 3)
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: exact_dedup.F.hex(exact_dedup.F.substring(c, 1, 1)))
+    rows = [(i, f"x{i % 3}") for i in range(20)] + [(30, "y"), (31, "y"), (None, "x1")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/d.parquet")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/d.parquet")).collect()}
+    assert got == {i: (max(j for j, u in rows if u == t and j is not None), sum(u == t for _, u in rows)) for i, t in rows}
+
+
+def test_chunk_tables_forget_and_stay_right():
+    from cadenza.llm import chunks
+
+    t, rng = tokenizer("word_bpe_49k.json"), np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)] + ["z" * 3000]
+    for limits in ((50, 10**6), (10**6, 2000)):
+        table = chunks.ChunkTable(chunks.word_table(P.path("word_bpe_49k.json")).encode_many, *limits)
+        for _ in range(12):
+            texts = [" ".join(rng.choice(words, 30)) for _ in range(5)]
+            got = [ids[i:j].tolist() for _, ids, bounds in chunks.encoded(pa.array(texts), table, chunks.word_chunks) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(table.chunks) <= 50 + 155 or sum(map(len, table.chunks)) <= 2000 + 155 * 3000
+
+
+def test_long_texts_pass_the_slices(spark, tmp_path, monkeypatch):
+    """Texts longer than a slice, and a slice boundary between them, in the tokenizing operators."""
+    import sentencepiece
+
+    texts = ["word é " * 300_000, "a" * 500_000 + " b", "x", None, "tail " * 250_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/d.parquet")
+    df = spark.read.parquet(f"{tmp_path}/d.parquet")
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    ours = {r.doc_id: r.ids for r in pieces.encode_texts(df, P.path("piece_bpe_32k.model"), ["ids"]).collect()}
+    assert all(ours[i] == sp.encode(t or "", add_bos=True, add_eos=True) for i, t in enumerate(texts) if i != 1)
+    token_files.write_token_files(df, f"file://{tmp_path}/t", P.path("word_bpe_49k.json"), 2)
+    t = tokenizer("word_bpe_49k.json")
+    assert {r.doc_id: bytes(r.ids) for r in token_files.read_token_files(spark, f"file://{tmp_path}/t").collect()} == {i: u32(t.encode(x or "", add_special_tokens=False).ids + [2]) for i, x in enumerate(texts)}
+
+
+def test_token_files_refuse_what_they_cannot_hold(spark, table, tmp_path):
+    with pytest.raises(Exception, match="needs more than 1 bytes"):
+        token_files.write_token_files(table, f"file://{tmp_path}/a", P.path("word_bpe_49k.json"), 2, bytes_an_id=1)
+    out = f"file://{tmp_path}/b"
+    token_files.write_token_files(table, out, P.path("word_bpe_49k.json"), 2, n_samples=1)
+    (tmp_path / "b/dictionary").write_bytes(b"another")
+    with pytest.raises(Exception, match="not the one"):
+        token_files.read_token_files(spark, out).collect()
+
+
+def test_bucket_pointers_name_equal_strings():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice([97, 98], int(n)).tolist()) + b"ab" * 30 for n in rng.integers(0, 90, 30)] + [b"", b"a" * 200]
+    raw, bounds = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    apart = np.zeros(len(raw), np.int64)
+    pointer = suffix_dedup.bucket_pointers(raw, bounds, apart)
+    named = {}
+    for t, a in zip(texts, bounds, strict=False):
+        for p in range(len(t) - 49):
+            named.setdefault(t[p : p + 50], set()).add(int(pointer[a + p]))
+    assert all(len(x) == 1 for x in named.values()) and len({x for v in named.values() for x in v}) == len(named)
+
+
+def test_other_columns_may_clash(spark, tmp_path):
+    rows = [(1, 0, "user", "hi", "x", 1), (1, 1, "assistant", "é " * 40_000, "y", 2)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, formatted string, place int")
+    got = chat.conversation_digests(chat.write_conversations(chat.format_conversations(df, RANKS, PATTERN)), RANKS, PATTERN).collect()
+    assert [(r.n_turns, r.loss_chars) for r in got] == [(2, 80_000)]
+    pages = spark.createDataFrame([(i, f"u{i}", "h" * (200_000 if i == 2 else i % 2), "z", 5) for i in range(6)], "page_id bigint, url string, html string, digest string, shard int")
+    warc.write_warc(pages, f"file://{tmp_path}/w")
+    assert Counter(r.record_type for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()) == {"response": 3, "revisit": 3}
+    vectors = spark.createDataFrame([(1, [1.0, -1.0], 3, 4), (2, None, 3, 4), (3, [1.0], 3, 4), (None, [1.0, None], 3, 4)], "id bigint, v array<double>, code int, block int")
+    codes = hamming.sign_codes(vectors, "id", "v", 2)
+    assert sorted((r.id or 0, r.code) for r in codes.collect()) == [(0, 1), (1, 1), (3, 1)] and hamming.top_k(codes, codes, 5).count() == 2
 
 
 def test_arrow_slices_keep_their_place():
