@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import at_locator, data_bytes, drop_path, shared_dir, staged, text_column
+from cadenza.llm.common import at_locator, data_bytes, drop_path, shared_dir, shuffles_dropped, staged, text_column
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -52,7 +52,23 @@ def stream_digests(spark: SparkSession, digests: str, checkpoint: str, partition
     return state.select(F.col("key.digest").alias("digest"), F.col(f"value.{n}").alias("n"), F.col(f"value.{keep}").alias("keep"))
 
 
-def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Rows of one digest whose texts one task compares, and the most partitions of a stream's state.
+SALT_ROWS, STATE_PARTITIONS = 1000, 4096
+
+
+def _digests(new: DataFrame, path: str) -> DataFrame:
+    """Add the rows of files that ``path`` has no digests of, and return all."""
+    spark = new.sparkSession
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        met = spark.read.schema(new.schema).parquet(path).select("file").distinct()
+        new = new.join(met, "file", "left_anti").select("digest", "id", "file", "row")
+    with shuffles_dropped(spark):
+        new.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(new.schema).parquet(path)
+
+
+def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> DataFrame:
     """Which rows have equal texts, and which of them stays.
 
     Returns one row per input row: ``doc_id, keep_id, group_size, kept,
@@ -62,28 +78,38 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     is smaller than any other. An empty table gives no rows; other columns,
     whatever their names, are not read. ``documents`` must be read from files,
     as a row's locator is its file and row number.
+
+    With ``state_dir`` (a folder that all executors share) digests and the
+    stream's state stay there without expiry. A later call with that folder and
+    a table that has grown by files digests the new files only and goes on from
+    the state; verdicts are those of all rows. Files must not change.
     """
-    return _verdicts(documents, id_col, text_col).drop("file", "row")
+    return _verdicts(documents, id_col, text_col, state_dir).drop("file", "row")
 
 
-def _verdicts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verdicts(documents: DataFrame, id_col: str, text_col: str, state_dir: str | None = None) -> DataFrame:
     """The rows of exact_dedup() with their locators ``file, row``."""
     spark = documents.sparkSession
     work = shared_dir(spark, "exact-dedup")
+    held = state_dir or work
     rows = documents.select(
         documents[id_col].cast("bigint").alias("id"), text_column(documents, text_col).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
     )
     digested = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    digests = staged(digested.select("digest", "id", "file", "row"), f"{work}/digests")
+    digests = _digests(digested.select("digest", "id", "file", "row"), f"{held}/digests")
     if digests.isEmpty():
         return digests.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"), "file", "row")
-    state = staged(stream_digests(spark, f"{work}/digests", f"{work}/stream", max(12, math.ceil(data_bytes(documents, text_col) / 16e6))), f"{work}/state")
-    drop_path(spark, f"{work}/stream")
-
-    # Full bytes of the hits: the text at a digest's locator against each text with that digest.
-    hits = staged(digested.join(state.where("n > 1"), "digest").select("digest", "text", F.expr("file = keep.file and row = keep.row").alias("stored")), f"{work}/hits")
-    stored = hits.where("stored").select("digest", F.col("text").alias("stored_text"))
-    compared = hits.join(stored, "digest")
+    partitions = min(STATE_PARTITIONS, max(12, math.ceil(data_bytes(documents, text_col) / 16e6)))
+    state = staged(stream_digests(spark, f"{held}/digests", f"{held}/stream", partitions), f"{work}/state")
+    if state_dir is None:
+        drop_path(spark, f"{work}/stream")
+
+    # Full bytes of the hits: the text at a digest's locator against each text with that digest, which meet in groups of about SALT_ROWS.
+    salts = F.expr(f"cast(ceil(n / {SALT_ROWS}) as int)")
+    hits = digested.join(state.where("n > 1"), "digest").select("digest", "text", F.expr("file = keep.file and row = keep.row").alias("stored"), salts.alias("salts"), F.xxhash64("file", "row").alias("place"))
+    hits = staged(hits, f"{work}/hits")
+    stored = hits.where("stored").select("digest", F.col("text").alias("stored_text"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    compared = hits.withColumn("salt", F.expr("cast(pmod(place, salts) as int)")).join(stored, ["digest", "salt"])
     shared = staged(compared.where("text != stored_text").select("digest").distinct(), f"{work}/shared")
     drop_path(spark, f"{work}/hits")
 
