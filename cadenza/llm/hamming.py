@@ -21,6 +21,8 @@ from cadenza.llm.common import shared_dir, spans_to_index, staged
 
 #: Queries looked up together, and probes at once; bound a task's memory.
 QUERIES, PROBES = 128, 400_000
+#: Codes below which a block is not cut further.
+LEAST_ROWS = 1000
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vector_col: str, n_bits: int = 64) -> DataFrame:
@@ -51,8 +53,12 @@ class SegmentIndex:
     def values(codes: np.ndarray, lo: int, hi: int) -> np.ndarray:
         return ((codes >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
 
-    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows ``(query, code, distance)``: of each query the k nearest codes, ties by place in the block."""
+    def nearest(self, queries: np.ndarray, k: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows ``(query, code, distance)``: of each query the k nearest codes within its limit, ties by place in the block.
+
+        A query ends when its radius covers its k-th verified distance here or
+        its limit, whichever is less.
+        """
         n, m = len(self.codes), len(self.segments)
         k = min(k, n)
         best = np.full((len(queries), k), np.iinfo(np.int64).max)
@@ -74,12 +80,13 @@ class SegmentIndex:
                     distance = np.bitwise_count(queries[who] ^ self.codes[found]).astype(np.int64)
                     # The key holds distance and place; what can't enter a query's best k goes at once.
                     key = distance * n + found
-                    near = key < best[who, -1]
+                    near = (key < best[who, -1]) & (distance <= limits[who])
                     self._merge(best, who[near], key[near])
                 covered = m * radius + j
-                active = active[best[active, -1] // n > covered]
-        who = np.repeat(np.arange(len(queries)), k)
-        return who, (best % n).ravel(), (best // n).ravel()
+                active = active[np.minimum(best[active, -1] // n, limits[active]) > covered]
+        who, best = np.repeat(np.arange(len(queries)), k), best.ravel()
+        met = best < np.iinfo(np.int64).max
+        return who[met], best[met] % n, best[met] // n
 
     @staticmethod
     def _merge(best: np.ndarray, who: np.ndarray, key: np.ndarray) -> None:
@@ -109,8 +116,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, n_bits: int = 64, b
     than k other rows give fewer; empty tables give no rows. Rows of one code
     are folded to the k + 1 smallest ids before anything is shuffled, so a very
     common code costs no more than another. Index and queries are dealt out in
-    blocks; each pair of blocks is a task of bounded size that emits k + 1
-    codes a query.
+    blocks; each pair of blocks is a task of bounded size. A query is first
+    searched in one block, whose (k + 1)-th distance bounds it in all others:
+    they end at that radius and emit no code beyond it.
     """
     spark = codes.sparkSession
     work = shared_dir(spark, "hamming")
@@ -119,27 +127,43 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, n_bits: int = 64, b
     index = staged(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), f"{work}/index")
     asked = staged(queries.where("id is not null").select("id", "code").distinct(), f"{work}/queries")
     n_codes, n_asked = index.count(), asked.select("code").distinct().count()
-    n_blocks = max(1, min(math.ceil(n_codes / 1000), max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_codes / block_rows))))
+    n_blocks = max(1, min(math.ceil(n_codes / LEAST_ROWS), max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_codes / block_rows))))
     n_groups = max(1, math.ceil(n_asked / query_rows))
-    left = index.select("code", F.pmod(F.xxhash64("code"), F.lit(n_blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("part"), F.lit(False).alias("asked"), F.col("ids")[0].alias("least"))
-    right = asked.select("code").distinct().select("code", F.pmod(F.xxhash64("code"), F.lit(n_groups)).cast("int").alias("part"), F.lit(True).alias("asked"))
-    right = right.select("code", F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)")).alias("block"), "part", "asked", F.lit(None).cast("bigint").alias("least"))
+    home = F.pmod(F.xxhash64("code"), F.lit(n_blocks))
+    least = F.col("ids")[0].alias("least")
+    number = min(100_000, max(n_blocks * n_groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    schema = "asked_code bigint, code bigint, distance int"
 
     def search(table: pa.Table) -> pa.Table:
-        code, is_query = table["code"].to_numpy().view(np.uint64), table["asked"].to_numpy(zero_copy_only=False)
+        code, limit = table["code"].to_numpy().view(np.uint64), table["limit"].to_numpy()
+        is_query = limit >= 0
         order = np.argsort(table["least"].to_numpy()[~is_query], kind="stable")
-        block, wanted = code[~is_query][order], np.sort(code[is_query])
+        block, ordered = code[~is_query][order], np.argsort(code[is_query], kind="stable")
+        wanted, limits = code[is_query][ordered], limit[is_query][ordered]
         parts: list[list[np.ndarray]] = [[], [], []]
         if len(block) and len(wanted):
             segments = SegmentIndex(block, n_bits)
             for a in range(0, len(wanted), QUERIES):
-                who, found, distance = segments.nearest(wanted[a : a + QUERIES], k + 1)
+                who, found, distance = segments.nearest(wanted[a : a + QUERIES], k + 1, limits[a : a + QUERIES])
                 for part, x in zip(parts, (wanted[a + who].view(np.int64), block[found].view(np.int64), distance.astype(np.int32)), strict=True):
                     part.append(x)
         types = (np.int64, np.int64, np.int32)
         return pa.table([np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, types, strict=True)], names=["asked_code", "code", "distance"])
 
-    near = left.unionByName(right).groupBy("block", "part").applyInArrow(search, "asked_code bigint, code bigint, distance int")
+    def searched(left: DataFrame, right: DataFrame) -> DataFrame:
+        # Dealt by number, which adaptive execution leaves as it is: small groups would else meet in one task.
+        both = left.select("code", "block", "part", F.lit(-1).alias("limit"), "least").unionByName(right.select("code", "block", "part", "limit", F.lit(None).cast("bigint").alias("least")))
+        return both.repartition(number, "block", "part").groupBy("block", "part").applyInArrow(search, schema)
+
+    codes_asked = asked.select("code").distinct()
+    group = F.pmod(F.xxhash64("code"), F.lit(n_groups)).cast("int").alias("part")
+    blocks = index.select("code", home.alias("block"), least)
+    # The first block of a query is that of its own code.
+    first = staged(searched(blocks.withColumn("part", F.lit(0)), codes_asked.select("code", home.alias("block"), F.lit(0).alias("part"), F.lit(n_bits).alias("limit"))), f"{work}/first")
+    bounds = first.groupBy("asked_code").agg(F.when(F.count(F.lit(1)) > k, F.max("distance")).otherwise(F.lit(n_bits)).alias("limit"))
+    bounded = codes_asked.join(bounds.withColumnRenamed("asked_code", "code"), "code", "left").select("code", home.alias("home"), group, F.coalesce("limit", F.lit(n_bits)).alias("limit"))
+    others = bounded.withColumn("block", F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)"))).where("block != home").drop("home")
+    near = first.unionAll(searched(blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))), others))
     # k + 1 codes of the smallest (distance, smallest id) hold the k + 1 nearest rows.
     per_code = Window.partitionBy("asked_code").orderBy("distance", "least", "code")
     held = near.join(index, "code").withColumn("least", F.col("ids")[0]).withColumn("nth", F.row_number().over(per_code)).where(F.col("nth") <= k + 1)
