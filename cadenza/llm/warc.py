@@ -21,12 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import data_bytes, partitions_for, strings, utf8
+from cadenza.llm.common import data_bytes, partitions_for, strings, tidied, utf8
 from cadenza.llm.token_files import NO_ID, _read, _store, _write
 
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
+#: Ranges that a writer deals pages to at most; their edges are part of the plan.
+MOST_RANGES = 20_000
 READ_SCHEMA = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
@@ -73,8 +75,8 @@ def write_warc(
     payloads of at least ``min_bytes`` bytes, the one with the smallest page id
     is a response and the others are revisits of it; a repeated row with that
     id is a revisit too. Null urls count as empty, a null id is smaller than
-    any other, an empty table gives a manifest without archives, and other
-    columns are not read. Html is shuffled once, into ranges of the page id;
+    any other, white space in an url becomes single spaces, an empty table gives
+    a manifest without archives, and other columns are not read. Html is shuffled once, into ranges of the page id;
     digests alone are grouped. An archive is rolled at ``roll_bytes``.
     """
     spark = pages.sparkSession
@@ -82,10 +84,11 @@ def write_warc(
     light = rows.select("id", F.unhex(F.sha2("html", 256)).alias("digest"), F.octet_length("html").alias("n"))
     firsts = light.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     verdicts = light.where(F.col("n") >= min_bytes).select("id", "digest").distinct().join(firsts, "digest").select("id", "digest", "first")
-    n = partitions_for(spark, data_bytes(pages, html_col), range_bytes)
-    cuts = sorted(set(rows.select(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []))
+    # Ranges grow beyond MOST_RANGES of them; a task streams its range and rolls archives by size, whatever the range's.
+    n = min(MOST_RANGES, partitions_for(spark, data_bytes(pages, html_col), range_bytes))
+    cuts = sorted(set(rows.select(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0] or []))
     _store(out_dir)[0].create_dir(_store(out_dir)[1], recursive=True)
-    edges = F.array(*[F.lit(x).cast("bigint") for x in cuts])
+    edges = F.lit(cuts).cast("array<bigint>") if cuts else None
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, shard, part, records, done = None, 0, None, 0, 0, []
@@ -135,13 +138,16 @@ def write_warc(
     both = rows.select("id", "url", "html", none.cast("binary").alias("digest"), none.cast("bigint").alias("first")).unionAll(
         verdicts.select("id", none.cast("string").alias("url"), none.cast("string").alias("html"), "digest", "first")
     )
-    # A page's verdicts come just before its rows; the range of an id is the number of edges below it.
-    shard = F.size(F.filter(edges, lambda x: x < F.col("id"))) if cuts else F.lit(0)
+    # A page's verdicts come just before its rows; the range of an id is the number of edges below it, found bit by bit.
+    shard, own = F.lit(0), F.col("id")
+    if cuts:
+        steps = F.lit([1 << b for b in reversed(range(len(cuts).bit_length()))])
+        shard = F.aggregate(steps, F.lit(0), lambda below, step: F.when((below + step <= len(cuts)) & (F.get(edges, below + step - 1) < own), below + step).otherwise(below))
     written = (
         both.select(shard.cast("int").alias("shard"), "*")
         .repartitionById(len(cuts) + 1, F.col("shard"))
         .sortWithinPartitions("id", F.col("digest").isNull(), "digest", "html", "url")
-        .mapInArrow(archives, "file string, records bigint, bytes bigint")
+        .mapInArrow(tidied(archives), "file string, records bigint, bytes bigint")
         .collect()
     )
     manifest = {"archives": sorted((r.asDict() for r in written), key=lambda x: x["file"])}
@@ -213,4 +219,4 @@ def read_warc(spark: SparkSession, out_dir: str, with_payload: bool = False) ->
                     yield made(rows)
 
     files = [(x["file"],) for x in manifest["archives"]]
-    return spark.createDataFrame(files, "file string").repartition(len(files)).mapInArrow(rows_of, schema)
+    return spark.createDataFrame(files, "file string").repartition(len(files)).mapInArrow(tidied(rows_of), schema)
