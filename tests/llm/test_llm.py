@@ -95,11 +95,13 @@ def test_exact_dedup(table, empty):
     assert exact_dedup.exact_dedup(empty).collect() == []
 
 
-def test_hamming(spark):
+@pytest.mark.parametrize("blocks", [500_000, 30])
+def test_hamming(spark, blocks, monkeypatch):
+    monkeypatch.setattr(hamming, "LEAST_ROWS", min(1000, blocks))
     rng = np.random.default_rng(3)
     codes = rng.integers(-(2**63), 2**63 - 1, 300).tolist() + [7] * 40
     df = spark.createDataFrame([*enumerate(codes), (None, 5)], "id bigint, code bigint")
-    got = {(r.query_id, r["rank"]): (r.distance, r.neighbor_id) for r in hamming.top_k(df, df.where("id % 20 = 0"), 5).collect()}
+    got = {(r.query_id, r["rank"]): (r.distance, r.neighbor_id) for r in hamming.top_k(df, df.where("id % 20 = 0"), 5, block_rows=blocks, query_rows=blocks).collect()}
     for q in range(0, 340, 20):
         near = sorted((((codes[q] ^ c) & (2**64 - 1)).bit_count(), i) for i, c in enumerate(codes) if i != q)[:5]
         assert [got[q, n] for n in range(1, 6)] == near
