@@ -96,3 +96,18 @@ def thinned_checkpoints(df: DataFrame, key: str, position: str, stride: int, cap
     step = (F.pow(F.lit(2.0), F.ceil(F.log2(need))) * F.lit(stride)).cast("bigint")
     rows = df.join(span.withColumn("stride", step), key).withColumn("_cell", F.floor((F.col(position) - F.col("_first")) / F.col("stride")))
     return rows.groupBy(key, "stride", "_cell").agg(F.min(position).alias("checkpoint")).select(key, "checkpoint", "stride")
+
+
+def pending_events(events: DataFrame, key: str, at: str, sample: str, arrival: str, capacity: int = 64) -> DataFrame:
+    """``events`` with ``waiting``, the events announced before that were still to come, and ``fits``: whether a queue of ``capacity`` had room.
+
+    An event is announced at ``at`` and leaves the queue once ``sample`` (its
+    own announcement at the earliest, also where null) lies before the next
+    one's ``at``; of events announced at once, those of smaller ``arrival``
+    come before. One sweep over announcements and departures: no join.
+    """
+    leaves = F.greatest(F.col(at), F.coalesce(F.col(sample), F.col(at)))
+    steps = F.array(F.struct(F.col(at).alias("pos"), F.lit(0).alias("kind"), F.lit(1).alias("step")), F.struct(leaves.alias("pos"), F.lit(1).alias("kind"), F.lit(-1).alias("step")))
+    before = Window.partitionBy(key).orderBy("_e.pos", "_e.kind", arrival).rowsBetween(Window.unboundedPreceding, -1)
+    swept = events.withColumn("_e", F.explode(steps)).withColumn("waiting", F.coalesce(F.sum("_e.step").over(before), F.lit(0)))
+    return swept.where("_e.kind = 0").drop("_e").withColumn("fits", F.col("waiting") < capacity)

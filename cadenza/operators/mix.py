@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.functions.names import named
+
 #: Speakers in the order of their numbers.
 SPEAKERS = ("FL", "FR", "FC", "LFE", "BL", "BR", "SL", "SR", "TFL", "TFR", "TBL", "TBR", "TML", "TMR", "FWL", "FWR")
 #: Speaker bits of the public WAVEFORMATEXTENSIBLE channel mask; the other speakers have none.
@@ -207,6 +209,11 @@ def layout_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "layout string, slot int, speaker string, bit bigint")
 
 
+def speaker_name(code: Column) -> Column:
+    """The label of a speaker's number; ``unknown`` for a number without one."""
+    return named(code, SPEAKERS, "unknown")
+
+
 def is_layout(speakers: Sequence[str]) -> bool:
     """Whether some speakers, in any order but each once, are those of a named layout."""
     return len(set(speakers)) == len(speakers) and any(set(speakers) == set(x) for x in LAYOUTS.values())

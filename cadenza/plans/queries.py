@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import checksums
 from cadenza.functions import fixed_point as fx
+from cadenza.functions import names as labels
 from cadenza.operators import align, levels, mix
+from cadenza.plans import report
+from cadenza.sources import headers
 
 EVENT_ORDER = ["ts", "event_id"]
 FOLD = mix.fold_table("5.1.4", "2.0")
@@ -208,8 +211,38 @@ def level_gain(spark, d):
 
 
 def checkpoint_seek(spark, d):
-    """Of every eighth event of a user, the last one with an id of at most 5000."""
-    return align.checkpoint_before(_events(spark, d), "user_id", "event_id", "value", 8, F.lit(5000), ["event_id"])
+    """Of every eighth event of a user, the last one at or before the middle of the user's ids."""
+    middle = F.floor((F.min("event_id").over(Window.partitionBy("user_id")) + F.max("event_id").over(Window.partitionBy("user_id"))) / 2).cast("bigint")
+    return align.checkpoint_before(_events(spark, d).withColumn("middle", middle), "user_id", "event_id", "value", 8, F.col("middle"), ["event_id"])
+
+
+def pending(spark, d):
+    """Events due up to an hour later, in a queue of three."""
+    t = F.expr(MICROS)
+    e = _events(spark, d).select("user_id", "event_id", t.alias("t"), (t + F.floor(F.col("value") * 36_000_000)).alias("due"))
+    return align.pending_events(e, "user_id", "t", "due", "event_id", 3).select("user_id", "event_id", "waiting", "fits")
+
+
+def code_names(spark, d):
+    """Names of speakers, statuses and backends."""
+    return _parts(spark, d).select("p_partkey", mix.speaker_name(F.col("p_partkey") % 18).alias("speaker"), labels.status_name(F.col("p_partkey") % 15 - 1).alias("status"), labels.backend_name(F.col("p_partkey") % 7).alias("backend"))
+
+
+def layer_ends(spark, d):
+    """End markers behind layers, and what they trim from five samples."""
+    k = F.col("p_partkey")
+    word = F.when(k % 3 == 0, F.lit(0xD234)).when(k % 3 == 1, 0xE000 + k % 64).otherwise(k % 65536)
+    tail = F.when(k % 7 == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.format_string("%04X%04X", F.lit(0xD234), word.cast("int"))))
+    end = _parts(spark, d).select("p_partkey", headers.end_of_layer(tail).alias("end"))
+    left = headers.trimmed(F.sequence(F.lit(1), F.lit(40)), F.col("end.trim"))
+    return end.select("p_partkey", "end.status", "end.ended", "end.trim", F.when(F.col("end.status") == "ok", F.size(left)).alias("n_samples"))
+
+
+def level_report(spark, d):
+    """Levels of events as the channels of 5.1, in another order and 6 dB down."""
+    e = _events(spark, d).select(F.col("event_id").alias("sample"), (F.col("user_id") % 6).alias("slot"), (F.col("value") / 40.0 - 0.5).alias("value"))
+    out = report.report(e, report.Options(layout="5.1", order=("FC", "FL", "FR", "SL", "SR", "LFE"), gain_db=-6.0))
+    return out.select("slot", "n", "peak", F.round("rms", 6).alias("rms"), "clips")
 
 
 def order_gate(spark, d):
@@ -288,7 +321,7 @@ from (select *, (sign(value) * floor(abs(value * 100) + 0.5))::bigint as v from
 ('7.1', 1599), ('7.1.2', 0), ('7.1.4', 185919), ('7.1.6', 0), ('9.1.6', 0)) t(layout, mask)""",
     "level_gain": "select p_partkey, round(pow(10.0, ((p_size % 32)::double - 31) / 20), 9) as gain from part",
     "checkpoint_seek": """select user_id, max(event_id) as checkpoint, arg_max(value, event_id) as state
-from (select *, row_number() over (partition by user_id order by event_id) - 1 as rn from events) where rn % 8 = 0 and event_id <= 5000 group by 1""",
+from (select *, row_number() over (partition by user_id order by event_id) - 1 as rn, (min(event_id) over (partition by user_id) + max(event_id) over (partition by user_id)) // 2 as middle from events) where rn % 8 = 0 and event_id <= middle group by 1""",
     "order_gate": f"select l_orderkey, l_linenumber, l_partkey, case when row_number() over w = 1 then true else lag(l_partkey) over w < l_partkey end as rising from lineitem window w as (partition by l_orderkey order by {_LINES})",
     "eos_tail": "select user_id, event_id, end_at from (select *, min(case when event_type = 'error' then event_id end) over (partition by user_id) as end_at from events) where event_id > end_at",
     "unavailable_count": f"select user_id, count(*) filter (code is null) as unavailable from (select user_id, last_value(case when event_type = 'error' then value end ignore nulls) over {_W[:-1]} rows between unbounded preceding and current row) as code from events) group by 1",
@@ -329,6 +362,19 @@ list_reduce([0::bigint] || b, lambda v, x: xor(xor(t16[(v >> 8) + 1], (v << 8) &
     "checked_arithmetic": """select p_partkey, case when p_partkey::hugeint * 4611686018427 * p_partkey <= 9223372036854775807 then (p_partkey::hugeint * 4611686018427 * p_partkey)::bigint end as product,
 case when p_partkey::hugeint * 4611686018427000 + 9200000000000000000 <= 9223372036854775807 then (p_partkey::hugeint * 4611686018427000 + 9200000000000000000)::bigint end as total,
 case when p_partkey * 2097152 <= 2147483647 then p_partkey * 2097152 end as coefficient from part""",
+    "pending": """with e as (select user_id, event_id, epoch_us(ts) as t, epoch_us(ts) + floor(value * 36000000)::bigint as due from events)
+select a.user_id, a.event_id, count(b.event_id) as waiting, count(b.event_id) < 3 as fits from e a
+left join e b on a.user_id = b.user_id and (b.t < a.t or b.t = a.t and b.event_id < a.event_id) and greatest(b.t, b.due) >= a.t group by 1, 2""",
+    "code_names": """select p_partkey, coalesce(['FL', 'FR', 'FC', 'LFE', 'BL', 'BR', 'SL', 'SR', 'TFL', 'TFR', 'TBL', 'TBR', 'TML', 'TMR', 'FWL', 'FWR'][p_partkey % 18 + 1], 'unknown') as speaker,
+case when p_partkey % 15 = 0 then 'unknown status' else coalesce(['ok', 'invalid argument', 'corrupt stream', 'unsupported stream profile', 'restart required', 'buffer too small', 'device unavailable', 'unknown speaker layout',
+'out of memory', 'unsupported audio output', 'native audio failure', 'audio timeout', 'cancelled'][p_partkey % 15], 'unknown status') end as status,
+coalesce(['unavailable', 'CoreAudio', 'WASAPI', 'Windows Spatial Audio', 'PipeWire', 'ALSA'][p_partkey % 7 + 1], 'unknown') as backend from part""",
+    "layer_ends": """with w as (select p_partkey, p_partkey % 7 = 0 as goes_on, case p_partkey % 3 when 0 then 53812 when 1 then 57344 + p_partkey % 64 else p_partkey % 65536 end as w from part),
+v as (select *, not goes_on and w >= 57344 and w - 57344 < 40 as cut, not goes_on and w = 53812 as whole from w)
+select p_partkey, case when goes_on or cut or whole then 'ok' else 'corrupt' end as status, cut or whole as ended, case when cut then w - 57344 when goes_on or whole then 0 end::int as trim,
+case when cut then 40 - (w - 57344) when goes_on or whole then 40 end::int as n_samples from v""",
+    "level_report": """select [1, 2, 0, 5, 3, 4][user_id % 6 + 1] as slot, count(*) as n, max(abs(v))::bigint as peak, round(sqrt(avg((v / 8388608.0) * (v / 8388608.0))), 6) as rms, count(*) filter (s > 8388607 or s < -8388608) as clips
+from (select *, sign(s) * floor(abs(greatest(-8388608.0, least(8388607.0, s))) + 0.5) as v from (select user_id, (value / 40 - 0.5) * pow(10.0, -0.3) * 8388608.0 as s from events)) group by 1""",
     "energy": "select user_id, event_type, round(sum(value * value), 4) as energy from events group by 1, 2",
 }
 

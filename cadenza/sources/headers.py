@@ -26,11 +26,20 @@ EXTENSION: list[Field] = [("words", 4, {1}, _C), ("dialogue_3", 5, None, _C), (N
 EVENT_HEAD: list[Field] = [("flags", 3, {0b110}, _U), ("list", 8, {0x11}, _U)]
 ELEMENT: list[Field] = [("inactive", 1, {0}, _U), ("gain", 2, {0, 3}, _U), ("priority", 1, {1}, _U)]
 ELEMENT_PLACE: list[Field] = [("x", 6, None, _C), ("y", 6, None, _C), ("up", 1, None, _C), ("z", 4, None, _C), ("rest", 9, {0b000010000}, _U)]
+#: What stands before the length of an event in the wrapper around it, and behind its bytes.
+WRAPPER: list[Field] = [
+    ("version", 2, {0}, _U), ("key", 3, {0}, _U), ("kind", 5, {11}, _U), ("offset", 1, {0}, _U), ("duration", 1, {0}, _U), ("group", 1, {0}, _U), ("codec", 1, {1}, _U), ("codec_data", 8, {8}, _U),
+    ("discard", 1, {0}, _U), ("aligned", 1, {1}, _U), ("create", 1, {0}, _U), ("remove", 1, {0}, _U), ("priority", 5, {0}, _U), ("level", 2, {0}, _U),
+]
+WRAPPER_TAIL: list[Field] = [("next", 5, {0}, _C), ("primary", 2, {1}, _U), ("secondary", 2, {0}, _U)]
+#: The word that ends a layer, and what all protected bytes of a wrapper xor to.
+END_WORD, WRAPPER_PARITY = 0xD234, 0xA9
 OFFSETS, RAMPS = (8, 16, 18, 24), (0, 512, 1536)
 LONG_RAMPS = (32, 64, 128, 256, 320, 480, 1000, 1001, 1024, 1600, 1601, 1602, 1920, 2000, 2002, 2048)
 
 HEADER_SCHEMA = "status string, header_bytes int, layers int, elements int, dialogue array<int>"
 DIRECTORY_SCHEMA = "status string, entries array<struct<layer int, begin int, end int, drc int>>, body int"
+WRAPPER_SCHEMA = "status string, event binary, check int"
 EVENT_SCHEMA = "status string, sample_offset int, ramp int, targets array<struct<x double, y double, z double>>"
 
 
@@ -142,6 +151,67 @@ def parse_event(payload: bytes, elements: int) -> dict:
         return {"status": e.status, "sample_offset": None, "ramp": None, "targets": None}
 
 
+def parse_wrapper(data: bytes) -> dict:
+    """The event's bytes in the wrapper behind a unit's layers, and the wrapper's keyed check byte, which is not evaluated here."""
+    try:
+        if len(data) < 6 or len(data) % 2:
+            raise StreamError(_C, "a truncated wrapper")
+        head, parity = data[0] ^ data[1], 0
+        for b in data[2:]:
+            parity ^= b
+        if (head >> 4) ^ (head & 15) != 15 or parity != WRAPPER_PARITY:
+            raise StreamError(_C, "a wrapper's parity differs")
+        size = int.from_bytes(data[2:4], "big") & 0xFFF
+        if 2 * (int.from_bytes(data[:2], "big") & 0xFFF) + 2 != len(data) or not 0 < size < len(data) - 4:
+            raise StreamError(_C, "a wrapper's length differs")
+        if any(data[4 + size : -1]):
+            raise StreamError(_C, "padding that isn't 0")
+        cursor = BitCursor(data[4 : 4 + size])
+        cursor.fields(WRAPPER)
+        n = cursor.variable(8)
+        if not n or 8 * n > cursor.size - cursor.at:
+            raise StreamError(_C, "an event longer than its wrapper")
+        event = cursor.read(8 * n).to_bytes(n, "big")
+        cursor.fields(WRAPPER_TAIL)
+        check = cursor.read(8)
+        cursor.zero(cursor.size - cursor.at)
+        return {"status": "ok", "event": event, "check": check}
+    except StreamError as e:
+        return {"status": e.status, "event": None, "check": None}
+
+
+def wrappers(units: DataFrame, payload: str = "payload") -> DataFrame:
+    """The rows of directories() with ``wrapper``: null where a unit has nothing behind its layers or no directory."""
+
+    @F.pandas_udf(WRAPPER_SCHEMA)
+    def parsed(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_wrapper(bytes(v)) if v is not None else dict.fromkeys(("status", "event", "check")) for v in x], columns=["status", "event", "check"])
+
+    begin = F.col("directory.body") + F.array_max(F.transform("directory.entries", lambda e: e["end"]))
+    rest = F.substring(F.col(payload), begin + 1, F.octet_length(payload) - begin)
+    return units.withColumn("wrapper", F.when(F.octet_length(rest) > 0, parsed(rest)))
+
+
+def end_of_layer(tail: Column) -> Column:
+    """``status, ended, trim`` of the bytes behind a layer's last block: whether the stream ends here, and how many samples its last unit lacks.
+
+    Nothing there: the stream goes on. Else the end word and either a second
+    one or a count below 40 with its three highest bits set. Null for null.
+    """
+    n = F.octet_length(tail)
+    word = lambda at: F.conv(F.hex(F.substring(tail, at, 2)), 16, 10).cast("int")
+    count = word(3).bitwiseAND(F.lit(0x1FFF))
+    trims = (word(3) >= 0xE000) & (count < 40)
+    shown = lambda status, ended, trim: F.struct(F.lit(status).alias("status"), F.lit(ended).alias("ended"), trim.alias("trim"))
+    marked = (n == 4) & (word(1) == END_WORD)
+    return F.when(n == 0, shown("ok", False, F.lit(0))).when(marked & trims, shown("ok", True, count)).when(marked & (word(3) == END_WORD), shown("ok", True, F.lit(0))).when(n.isNotNull(), shown(_C, False, F.lit(None).cast("int")))
+
+
+def trimmed(samples: Column, trim: Column) -> Column:
+    """An array of samples without its last ``trim``; a null trim takes none."""
+    return F.slice(samples, F.lit(1), F.greatest(F.lit(0), F.size(samples) - F.coalesce(trim, F.lit(0))))
+
+
 def headers(units: DataFrame, key: str, order: str, payload: str = "payload") -> DataFrame:
     """``units`` with ``restart, interval_id`` and the ``header`` that holds at each: parsed at restarts alone, held until the next."""
 

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.functions import bits, checksums
+from cadenza.functions import bits, checksums, names
 from cadenza.functions import fixed_point as fx
 from cadenza.operators import align, levels, mix
+from cadenza.plans import report
 from cadenza.sources import access_units, headers, pcm, wave
-from cadenza.streaming import units
+from cadenza.streaming import files, units
 
 
 def one(spark, column, **values):
@@ -336,3 +337,92 @@ def test_wave_round_trip():
     samples = np.array([[0, -1], [2**23 - 1, -(2**23)], [5, 6]])
     rate, mask, got = wave.read(wave.header(2, 3, 3) + wave.pack24(samples))
     assert (rate, mask) == (48_000, 3) and (got == samples).all()
+
+
+def test_names_of_codes(spark):
+    df = spark.createDataFrame([(-1,), (0,), (12,), (13,), (None,)], "c int")
+    assert [r[0] for r in df.select(names.status_name(F.col("c"))).collect()] == ["unknown status", "ok", "cancelled", "unknown status", None]
+    assert [r[0] for r in df.select(names.backend_name(F.col("c"))).collect()] == ["unknown", "unavailable", "unknown", "unknown", None]
+    assert [r[0] for r in df.select(mix.speaker_name(F.col("c"))).collect()] == ["unknown", "FL", "TML", "TMR", None]
+
+
+def test_events_that_wait(spark):
+    # Announced at 0, 0, 5, 5, 40, 41: the second is due at once, the third at 40, the fourth never later than it is told.
+    rows = [("a", 0, 100, 0), ("a", 0, 0, 1), ("a", 5, 40, 2), ("a", 5, None, 3), ("a", 40, 41, 4), ("a", 41, 1, 5), ("b", 7, 9, 0)]
+    df = spark.createDataFrame(rows, "k string, at long, sample long, n long")
+    got = {(r.k, r.n): (r.waiting, r.fits) for r in align.pending_events(df, "k", "at", "sample", "n", 2).collect()}
+    assert got == {("a", 0): (0, True), ("a", 1): (1, True), ("a", 2): (1, True), ("a", 3): (2, False), ("a", 4): (2, False), ("a", 5): (2, False), ("b", 0): (0, True)}
+    assert align.pending_events(df.limit(0), "k", "at", "sample", "n").collect() == []
+
+
+@pytest.mark.parametrize("tail, want", [("", ("ok", False, 0)), ("D234D234", ("ok", True, 0)), ("D234E027", ("ok", True, 39)), ("D234E028", ("corrupt", False, None)), ("D235D234", ("corrupt", False, None)), ("D234", ("corrupt", False, None)), ("D234D2340000", ("corrupt", False, None))])
+def test_ends_of_layers(spark, tail, want):
+    row = spark.createDataFrame([(bytearray.fromhex(tail),)], "t binary").select(headers.end_of_layer(F.col("t")).alias("e"), headers.trimmed(F.sequence(F.lit(1), F.lit(40)), F.lit(want[2])).alias("s")).first()
+    assert tuple(row.e) == want and row.s == list(range(1, 41 - (want[2] or 0)))
+    assert spark.createDataFrame([(None,)], "t binary").select(headers.end_of_layer(F.col("t")).alias("e")).first().e is None
+
+
+def wrapped(event, check=0x5A, padding=3):
+    body = Bits().put((0, 2), (0, 3), (11, 5), (0, 3), (1, 1), (8, 8), (0, 1), (1, 1), (0, 2), (0, 5), (0, 2), (len(event), 8), (0, 1))
+    body.put(*((b, 8) for b in event)).put((0, 5), (1, 2), (0, 2), (check, 8))
+    body = body.bytes()
+    padding += (len(body) + padding + 1) % 2
+    data = bytearray(len(body).to_bytes(2, "big") + body + bytes(padding))
+    parity = 0xA9
+    for b in data:
+        parity ^= b
+    data.append(parity)
+    word = len(data) // 2
+    nibbles = (word >> 8) ^ (word >> 4 & 15) ^ (word & 15)
+    return ((nibbles ^ 15) << 12 | word).to_bytes(2, "big") + bytes(data)
+
+
+def test_wrappers(spark):
+    data = wrapped(b"event bytes")
+    assert headers.parse_wrapper(data) == {"status": "ok", "event": b"event bytes", "check": 0x5A}
+    for k in range(8 * len(data)):
+        damaged = bytearray(data)
+        damaged[k // 8] ^= 128 >> k % 8
+        assert headers.parse_wrapper(bytes(damaged))["status"] == "corrupt"
+    assert headers.parse_wrapper(data[:4])["status"] == "corrupt"
+    plain = make_unit(restart_header(16), [4, 10, 12, 20])
+    # The wrapper lengthens its unit, so the unit's own word and parity change.
+    word = (len(plain) + len(data)) // 2
+    first = bytearray(word.to_bytes(2, "big") + b"\0\0")
+    parity = first[0] ^ first[1]
+    for b in plain[36:44]:
+        parity ^= b
+    first[2] = (parity >> 4) ^ (parity & 15) ^ 15
+    df = spark.createDataFrame([("a", 0, bytearray(plain)), ("a", 1, first + plain[4:] + data), ("a", 2, bytearray(b"\0\0"))], "s string, n int, payload binary")
+    got = {r.n: r.wrapper for r in headers.wrappers(headers.directories(headers.headers(df, "s", "n"))).collect()}
+    assert got[0] is None and got[2] is None and (got[1].status, bytes(got[1].event), got[1].check) == ("ok", b"event bytes", 0x5A)
+
+
+def test_files_as_streams(spark, tmp_path):
+    data = unit(4) + unit(300) + unit(10)
+    (tmp_path / "a.bin").write_bytes(data[:200])
+    (tmp_path / "b.bin").write_bytes(b"")
+    paths = [f"file://{tmp_path}/{x}.bin" for x in "ab"]
+    files.register(spark)
+
+    def run(complete):
+        source = spark.readStream.format("byte_fragments").option("paths", ",".join(paths)).option("bytes", "64").option("complete", complete).load()
+        query = units.stream_units(source).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted((r.stream_id, r.au, r.byte_offset, r.n_bytes, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert run("false") == [(paths[0], 0, 0, 4, "ok")]
+    (tmp_path / "a.bin").write_bytes(data)
+    assert run("true") == [(paths[0], *r[1:4], r[5]) for r in access_units.frame(data, "a")]
+
+
+def test_report_options(spark):
+    for bad in ({}, {"layer": 1, "layout": "5.1"}, {"layer": 4}, {"layer": 1, "gain_db": 1.0}, {"layer": 0, "solo": "FL"}, {"layout": "6.1"}, {"layout": "2.0", "order": ("FL",)}, {"layout": "2.0", "order": ("FL", "FL")}, {"layout": "2.0", "solo": "FC"}, {"layout": "2.0", "gain_db": 25.0}, {"layout": "2.0", "gain_db": float("nan")}, {"layout": "2.0", "start": -1}):
+        with pytest.raises(ValueError):
+            report.Options(**bad)
+    rows = [(0, s, slot, v) for s, slot, v in ((0, 0, 0.5), (1, 0, -0.5), (2, 0, 2.0), (0, 1, None), (1, 1, 0.25))]
+    df = spark.createDataFrame([*rows, (1, 0, 0, 1.0)], "layer int, sample long, slot int, value double")
+    got = lambda **k: {r.slot: (r.n, r.peak, r.clips) for r in report.report(df, report.Options(**k)).collect()}
+    assert got(layer=0) == {0: (3, 2**23 - 1, 1), 1: (1, 2**21, 0)} and got(layer=1) == {0: (1, 2**23 - 1, 1)}
+    assert got(layout="2.0", order=("FR", "FL"), limit=2, start=1) == {1: (2, 2**23 - 1, 1), 0: (1, 2**21, 0)}
+    assert got(layout="2.0", solo="FR") == {1: (1, 2**21, 0)} and report.report(df.limit(0), report.Options(layer=0)).collect() == []
