@@ -32,6 +32,9 @@ MARKED = re.compile("▁+[^▁]*")
 SIMPLE = re.compile("[ -~¡-įı-ɏ\ue000]*")
 
 
+#: A word of ASCII letters, and marks behind it that a word tokenizer takes as one more word.
+PLAIN = re.compile("[A-Za-z]+[.,;:!?]*")
+
 #: A private-use character of which the vocabularies have no piece; stands between joined chunks.
 FENCE = "\ue000"
 
@@ -174,7 +177,7 @@ def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
 
 
 @functools.cache
-def word_table(path: str, limit: int = 200_000) -> ChunkTable:
+def word_table(path: str, limit: int = 300_000) -> ChunkTable:
     """A table for word_chunks() over a file of the tokenizers library, one for each process.
 
     As the library does by default, it gives the strings of added tokens in a text those tokens' ids.
@@ -208,14 +211,29 @@ def word_table(path: str, limit: int = 200_000) -> ChunkTable:
         inside[(ends[:, None] + np.arange(len(fence))).ravel()] = False
         return ids[inside], np.diff(ends, prepend=-len(fence)) - len(fence)
 
+    suffix = getattr(whole.model, "end_of_word_suffix", None)
+    vocabulary = whole.get_vocab() if suffix else {}
+    ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    ends_word[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
+    # A plain chunk can't hold an added token that has other characters.
+    may_be_plain = bool(suffix) and all(re.search("[^A-Za-z.,;:!?]", x) for x, _ in added_tokens(path))
+
+    def plain(new: list[str]) -> Encoded:
+        """Without fences: the last id of each word has the model's suffix, and a chunk is a word, or a word and its marks."""
+        ids = np.array(bare.encode_batch_fast([" ".join(new).lower()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(ends_word[ids]) + 1
+        words = np.cumsum([2 - x[-1].isalpha() for x in new])
+        if len(ends) != words[-1]:
+            return one_by_one(new)
+        return ids, np.diff(ends[words - 1], prepend=0)
+
     def encode_many(new: list[str]) -> Encoded:
         # Chunks that hold an added token go to the library one by one.
-        kinds = [0 if held.search(x) else 1 + bool(SIMPLE.fullmatch(x)) for x in new]
+        kinds = [3 if may_be_plain and PLAIN.fullmatch(x) else 0 if held.search(x) else 1 + bool(SIMPLE.fullmatch(x)) for x in new]
         order = sorted(range(len(new)), key=kinds.__getitem__)
-        rare = kinds.count(0)
-        cut = rare + kinds.count(1)
-        parts = [one_by_one([new[i] for i in order[:rare]])] if rare else []
-        parts += [joined([new[i] for i in order[k : min(k + 2000, end)]], end > cut) for a, end in ((rare, cut), (cut, len(new))) for k in range(a, end, 2000)]
+        ways = [one_by_one, lambda x: joined(x, False), lambda x: joined(x, True), plain]
+        edges = np.cumsum([0, *(kinds.count(k) for k in range(4))]).tolist()
+        parts = [way([new[i] for i in order[k : min(k + 2000, end)]]) for way, a, end in zip(ways, edges[:-1], edges[1:], strict=True) for k in range(a, end, 2000)]
         ids, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
         back = np.argsort(order)
         return ids[spans_to_index((np.cumsum(lengths) - lengths)[back], lengths[back])], lengths[back]

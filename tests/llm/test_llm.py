@@ -549,3 +549,12 @@ def test_dictionary_samples_are_bounded_by_parameter(table, tmp_path, monkeypatc
     for n in (6, 1 << 20):
         token_files.write_token_files(table, f"file://{tmp_path}/{n}", P.path("word_bpe_49k.json"), 2, sample_bytes=n)
     assert max(map(len, seen[0])) == 6 and max(map(len, seen[1])) > 1000
+
+
+def test_plain_words_need_no_fences():
+    marks = ["", ".", ",", "...", "!?", ";:,", "'s", "1", "-", ".a", "é", "ı", "K"]
+    words = ["a", "And", "REND", "ve", "s", "notaword", "x" * 300]
+    found = [w + m for w in words for m in marks] + ["", ",", "<|endoftext|>,", "<|endoftext|>"] + [f"w{chr(97 + k % 26) * (k % 40)}q{chr(97 + k // 26 % 26)}{'.' * (k % 3)}" for k in range(5000)]
+    ids, lengths = chunks.word_table(P.path("word_bpe_49k.json")).encode_many(found)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    assert got == [x.ids for x in tokenizer("word_bpe_49k.json").encode_batch(found, add_special_tokens=False)]
