@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import public_tokenizers as P
 
-from cadenza.llm import chat, exact_dedup, hamming, near_dup, packing, pieces, queries, suffix_dedup, token_files, toxicity, warc
+from cadenza.llm import chat, chunks, exact_dedup, hamming, near_dup, packing, pieces, queries, suffix_dedup, token_files, toxicity, warc
 
 RANKS, PATTERN = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 TEXTS = [None, "", " ", "  a  b", "a\n b", "é é\xa0x", "日本 語 😀", "</s>[INST] x\\y", "it's we'll 12 345", "▁a ▁ b", "x" * 3000, "a b " * 900, " q", "a\x1cb c", "tail ", "same text here", "same text here"]
