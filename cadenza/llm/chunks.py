@@ -35,6 +35,9 @@ SIMPLE = re.compile("[ -~¡-įı-ɏ\ue000]*")
 #: A word of ASCII letters, and marks behind it that a word tokenizer takes as one more word.
 PLAIN = re.compile("[A-Za-z]+[.,;:!?]*")
 
+#: A chunk without white space or FENCE: in byte-level vocabularies it may stand next to others.
+SOLID = re.compile("[^\\s\ue000]+")
+
 #: A private-use character of which the vocabularies have no piece; stands between joined chunks.
 FENCE = "\ue000"
 
@@ -49,6 +52,16 @@ def in_a_row(encoded: list[Sequence[int]]) -> Encoded:
     return np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths
 
 
+def _by_kind(new: list[str], kinds: Sequence[int], ways: list[Callable[[list[str]], Encoded]]) -> Encoded:
+    """Chunks encoded 2,000 at once by the way of their kind, in their own order again."""
+    order = sorted(range(len(new)), key=kinds.__getitem__)
+    edges = np.cumsum([0, *(kinds.count(k) for k in range(len(ways)))]).tolist()
+    parts = [way([new[i] for i in order[k : min(k + 2000, end)]]) for way, a, end in zip(ways, edges[:-1], edges[1:], strict=True) for k in range(a, end, 2000)]
+    ids, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+    back = np.argsort(order)
+    return ids[spans_to_index((np.cumsum(lengths) - lengths)[back], lengths[back])], lengths[back]
+
+
 class ChunkTable:
     """Chunks and their ids. ``encode_many`` gives the ids of distinct chunks in a row, and how many each has."""
 
@@ -230,13 +243,7 @@ def word_table(path: str, limit: int = 300_000) -> ChunkTable:
     def encode_many(new: list[str]) -> Encoded:
         # Chunks that hold an added token go to the library one by one.
         kinds = [3 if may_be_plain and PLAIN.fullmatch(x) else 0 if held.search(x) else 1 + bool(SIMPLE.fullmatch(x)) for x in new]
-        order = sorted(range(len(new)), key=kinds.__getitem__)
-        ways = [one_by_one, lambda x: joined(x, False), lambda x: joined(x, True), plain]
-        edges = np.cumsum([0, *(kinds.count(k) for k in range(4))]).tolist()
-        parts = [way([new[i] for i in order[k : min(k + 2000, end)]]) for way, a, end in zip(ways, edges[:-1], edges[1:], strict=True) for k in range(a, end, 2000)]
-        ids, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
-        back = np.argsort(order)
-        return ids[spans_to_index((np.cumsum(lengths) - lengths)[back], lengths[back])], lengths[back]
+        return _by_kind(new, kinds, [one_by_one, lambda x: joined(x, False), lambda x: joined(x, True), plain])
 
     return ChunkTable(encode_many, limit)
 
@@ -254,7 +261,30 @@ def byte_table(path: str, pattern: str, limit: int = 200_000, added: tuple[tuple
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
-    return ChunkTable(lambda new: in_a_row([encoding.encode(_unkeyed(x), allowed_special="all") if added else encoding.encode_ordinary(_unkeyed(x)) for x in new]), limit)
+    sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+    sizes[list(ranks.values())] = [len(x) for x in ranks]
+    held = re.compile("|".join(re.escape(x) for x, _ in added) or "(?!)")
+
+    def one_by_one(new: list[str]) -> Encoded:
+        return in_a_row([encoding.encode(_unkeyed(x), allowed_special="all") for x in new])
+
+    def joined(new: list[str]) -> Encoded:
+        """Chunks in a row, told apart by the bytes of their ids: a chunk begins at each space here, as in a text."""
+        text = " " + " ".join(new)
+        if held.search(text):
+            return one_by_one(new)
+        ids = encoding.encode_to_numpy(text, disallowed_special=())
+        at = np.cumsum(sizes[ids])
+        ends = np.cumsum([1 + (len(x) if x.isascii() else len(x.encode())) for x in new])
+        last = np.searchsorted(at, ends)
+        if last[-1] >= len(at) or (at[last] != ends).any():
+            return one_by_one(new)
+        return ids, np.diff(last, prepend=-1)
+
+    def encode_many(new: list[str]) -> Encoded:
+        return _by_kind(new, [x is not None for x in map(SOLID.fullmatch, new)], [one_by_one, joined])
+
+    return ChunkTable(encode_many, limit)
 
 
 def drop_tables() -> None:

@@ -558,3 +558,18 @@ def test_plain_words_need_no_fences():
     ids, lengths = chunks.word_table(P.path("word_bpe_49k.json")).encode_many(found)
     got = [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
     assert got == [x.ids for x in tokenizer("word_bpe_49k.json").encode_batch(found, add_special_tokens=False)]
+
+
+def test_solid_chunks_are_encoded_together_as_alone():
+    """Joined chunks' ids against the library's for each whole text: white space of all kinds, added tokens, fences, wide characters."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    table = chunks.byte_table(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, added=chunks.added_tokens(P.path("byte_bpe_50k.json")))
+    rng = random.Random(5)
+    parts = ["don't", "a", "Ünïcode", "日本語", "x" * 300, "<|endoftext|>", "<|end", "oftext|>", "\ue000", "e\u0301", "\U0001f600\u200d", "\u180e", "12,345", "--", "\n", "\t", "\xa0", "\u2003", "\x1c", "\x85", " ", "  ", ""]
+    texts = ["", " ", *parts, *("".join(rng.choice(parts) + rng.choice([" ", " ", "", "\n"]) for _ in range(rng.randrange(1, 40))) for _ in range(2000))]
+    found = [ids[a:b].tolist() for _, ids, bounds in chunks.encoded(pa.array(texts), table, chunks.space_chunks) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert found == [whole.encode(x, add_special_tokens=False).ids for x in texts]
