@@ -31,9 +31,10 @@ MARKED = re.compile("▁+[^▁]*")
 #: Composed Latin text: NFC leaves it as it is and lower case is the same in every library.
 SIMPLE = re.compile("[ -~¡-įı-ɏ\ue000]*")
 
-
-#: A word of ASCII letters, and marks behind it that a word tokenizer takes as one more word.
-PLAIN = re.compile("[A-Za-z]+[.,;:!?]*")
+#: Letters of SIMPLE, and marks of one kind to a word tokenizer; not ', which begins endings of words.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", r'!-&(-/:-@\[-`{-~'
+#: A word of such letters, and marks behind it that a word tokenizer takes as one more word.
+PLAIN = re.compile(f"[{LETTERS}]+[{MARKS}]*")
 
 #: A chunk without white space or FENCE: in byte-level vocabularies it may stand next to others.
 SOLID = re.compile("[^\\s\ue000]+")
@@ -228,8 +229,8 @@ def word_table(path: str, limit: int = 300_000) -> ChunkTable:
     vocabulary = whole.get_vocab() if suffix else {}
     ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
     ends_word[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
-    # A plain chunk can't hold an added token that has other characters.
-    may_be_plain = bool(suffix) and all(re.search("[^A-Za-z.,;:!?]", x) for x, _ in added_tokens(path))
+    # A plain chunk can't hold an added token that isn't letters, then marks.
+    may_be_plain = bool(suffix) and not any(re.fullmatch(f"[{LETTERS}]*[{MARKS}]*", x) for x, _ in added_tokens(path))
 
     def plain(new: list[str]) -> Encoded:
         """Without fences: the last id of each word has the model's suffix, and a chunk is a word, or a word and its marks."""

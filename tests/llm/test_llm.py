@@ -573,3 +573,23 @@ def test_solid_chunks_are_encoded_together_as_alone():
     texts = ["", " ", *parts, *("".join(rng.choice(parts) + rng.choice([" ", " ", "", "\n"]) for _ in range(rng.randrange(1, 40))) for _ in range(2000))]
     found = [ids[a:b].tolist() for _, ids, bounds in chunks.encoded(pa.array(texts), table, chunks.space_chunks) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert found == [whole.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_plain_words_of_any_latin_letters_and_marks():
+    """Every letter and mark of a plain chunk, in words and behind them, against the library's ids."""
+    import random
+    import string
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    table = chunks.word_table(P.path("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(0x250) if chunks.PLAIN.fullmatch(chr(c))]
+    marks = [x for x in string.punctuation if x != "'"]
+    assert set(string.ascii_letters) < set(letters) and all(x.isalpha() for x in letters) and all(chunks.PLAIN.fullmatch("a" + x) for x in marks)
+    rng = random.Random(9)
+    words = [*letters, *("a" + x for x in marks), *("É" + x for x in letters)]
+    words += ["".join(rng.choices(letters, k=rng.randrange(1, 12))) + "".join(rng.choices(marks, k=rng.randrange(4))) for _ in range(20000)]
+    words += ["Aª", "ª", "µm", "İx", "ﬁn", "x'll", "a'", "<|endoftext|>", "a<|endoftext|>", "a<|endoftext|>b"]
+    found = [ids[a:b].tolist() for _, ids, bounds in chunks.encoded(pa.array(words), table, chunks.word_chunks) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert found == [whole.encode(x, add_special_tokens=False).ids for x in words]
