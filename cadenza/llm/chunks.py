@@ -191,7 +191,7 @@ def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
 
 
 @functools.cache
-def word_table(path: str, limit: int = 300_000) -> ChunkTable:
+def word_table(path: str, limit: int = 600_000) -> ChunkTable:
     """A table for word_chunks() over a file of the tokenizers library, one for each process.
 
     As the library does by default, it gives the strings of added tokens in a text those tokens' ids.
