@@ -195,8 +195,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, n_words: int
 
 
 def _floor(threshold: float, m: int) -> float:
-    """The share of m components that texts of that similarity agree in, but for one pair in 30,000."""
-    return threshold - 4 * math.sqrt(threshold * (1 - threshold) / m)
+    """The share of m components that texts of that similarity agree in, but for 4 pairs in a hundred million at 0.8 (m: 96 or more)."""
+    return threshold - 6 * math.sqrt(threshold * (1 - threshold) / m)
 
 
 def _pairs_in_blocks(open_buckets: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, n_words: int, work: str) -> DataFrame:
@@ -267,9 +267,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n_words: int =
     bucket in different classes, all their pairs across classes are compared,
     in blocks and by a finer signature. Before texts are compared, pairs go whose
     signatures agree in fewer components than those of a pair at the threshold
-    do but once in 30,000 (``_floor``; in large buckets a second time, by the
-    finer signature): of the links at the very threshold about 7 in 100,000 may
-    be lost so, of closer texts far fewer. Every link given is verified.
+    do but 4 times in a hundred million (``_floor``; in large buckets a second
+    time, by the finer signature): far fewer than banding misses. Every link given is verified.
     """
     return _verdicts(documents, threshold, n_words, id_col, text_col).drop("file", "row")
 
