@@ -35,7 +35,7 @@ def shingles(texts: pa.Array, n_words: int = 5) -> Iterator[tuple[np.ndarray, np
     words than ``n_words`` is one shingle, a text without words has none.
     """
     lower = pc.utf8_lower(utf8(texts))
-    for a, b in text_slices(byte_lengths(lower), 2 * SLICE_BYTES):
+    for a, b in text_slices(byte_lengths(lower), SLICE_BYTES):
         raw, bounds = text_bytes(lower.slice(a, b - a))
         starts, ends, counts = words(raw, bounds)
         hashed = Bytes(raw).hashes(starts, ends)
