@@ -593,14 +593,3 @@ def test_plain_words_of_any_latin_letters_and_marks():
     words += ["Aª", "ª", "µm", "İx", "ﬁn", "x'll", "a'", "<|endoftext|>", "a<|endoftext|>", "a<|endoftext|>b"]
     found = [ids[a:b].tolist() for _, ids, bounds in chunks.encoded(pa.array(words), table, chunks.word_chunks) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert found == [whole.encode(x, add_special_tokens=False).ids for x in words]
-
-
-@pytest.mark.parametrize("m", [near_dup.COMPONENTS, near_dup.FINE])
-def test_floors_lose_fewer_links_than_banding(m):
-    """The exact binomial tails: a pair at the threshold falls below the floor far less often than no band of it is equal."""
-    from math import ceil, comb
-
-    below = ceil(near_dup._floor(0.8, m) * m)
-    lost = sum(comb(m, k) * 0.8**k * 0.2 ** (m - k) for k in range(below))
-    unmet = (1 - 0.8**near_dup.ROWS_A_BAND) ** (near_dup.COMPONENTS // near_dup.ROWS_A_BAND)
-    assert lost < 4e-8 < unmet / 50
