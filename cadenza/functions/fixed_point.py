@@ -44,14 +44,29 @@ def quantize24(x: Column) -> tuple[Column, Column]:
     return round_half_away(F.greatest(bottom, F.least(top, scaled))).cast("bigint"), (scaled > top) | (scaled < bottom)
 
 
+def _wide(x: Column) -> Column:
+    """As a decimal; two multiplied and a third added take 38 digits at most."""
+    return _long(x).cast("decimal(19,0)")
+
+
+def _narrow(x: Column) -> Column:
+    """The 64-bit integer, or null outside its range; compared beforehand, as ``try_`` functions throw inside at each overflow."""
+    return F.when(x.between(F.lit(-(2**63)), F.lit(2**63 - 1)), x.cast("bigint"))
+
+
 def checked_add(a: Column, b: Column) -> Column:
     """The sum, or null where it overflows 64 bits."""
-    return F.try_add(_long(a), _long(b))
+    return _narrow(_wide(a) + _wide(b))
 
 
 def checked_multiply(a: Column, b: Column) -> Column:
     """The product, or null where it overflows 64 bits."""
-    return F.try_multiply(_long(a), _long(b))
+    return _narrow(_wide(a) * _wide(b))
+
+
+def checked_multiply_add(a: Column, b: Column, c: Column) -> Column:
+    """``a * b + c``, or null where that overflows 64 bits; the product alone may."""
+    return _narrow(_wide(a) * _wide(b) + _wide(c))
 
 
 def coefficient(x: Column, shift: int) -> Column:

@@ -196,8 +196,11 @@ def matrix_rows(spark, d):
 
 def checked_arithmetic(spark, d):
     """P5: sums, products and scaled coefficients, null where they overflow."""
-    big = F.col("p_partkey") * 4_611_686_018_427
-    return _parts(spark, d).select("p_partkey", fx.checked_multiply(big, F.col("p_partkey")).alias("product"), fx.checked_add(big * 1000, F.lit(9_200_000_000_000_000_000)).alias("total"), fx.coefficient(F.col("p_partkey"), 21).alias("coefficient"))
+    key = F.col("p_partkey")
+    # Where the inner product overflows, the outer one does too.
+    product = fx.checked_multiply(fx.checked_multiply(key, F.lit(4_611_686_018_427)), key)
+    total = fx.checked_multiply_add(key, F.lit(4_611_686_018_427_000), F.lit(9_200_000_000_000_000_000))
+    return _parts(spark, d).select("p_partkey", product.alias("product"), total.alias("total"), fx.coefficient(key, 21).alias("coefficient"))
 
 
 def energy(spark, d):

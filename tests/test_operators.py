@@ -61,6 +61,13 @@ def test_coordinates_and_checked_functions(spark):
         one(spark, fx.checked_db_gain(F.col("v")), v=25.0)
 
 
+@pytest.mark.parametrize("a, b, c", [(3, 4, 5), (-2001, 4_611_686_018_427_000, 9_200_000_000_000_000_000), (2001, 4_611_686_018_427_000, 9_200_000_000_000_000_000), (-(2**63), -(2**63), -(2**63)), (2**62, 2, -1), (2**62, 2, 0), (-(2**62), 2, 0), (-(2**62), 2, -1)])
+def test_the_sum_counts_and_not_the_product_before_it(spark, a, b, c):
+    a_, b_, c_ = F.col("a"), F.col("b"), F.col("c")
+    got = one(spark, F.array(fx.checked_multiply_add(a_, b_, c_), fx.checked_multiply(a_, b_), fx.checked_add(b_, c_)), a=a, b=b, c=c)
+    assert got == [x if -(2**63) <= x < 2**63 else None for x in (a * b + c, a * b, b + c)]
+
+
 def test_order_gate_and_agreement_with_nulls(spark):
     df = spark.createDataFrame([(1, 1, 5), (1, 2, None), (1, 3, 7), (1, 4, 8), (2, 1, None), (2, 2, None)], "k int, n int, e int")
     assert {(r.k, r.n): r.rising for r in levels.order_gate(df, "k", ["n"], "e").collect()} == {(1, 1): True, (1, 2): None, (1, 3): None, (1, 4): True, (2, 1): True, (2, 2): None}
